@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, vbyte
+from . import bpe, langid, simhash, vbyte
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,4 +25,12 @@ def op6_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES |= {f.__name__: f for f in (op2_ranked_vbyte, op6_segment_tree_bpe)}
+def op8_string_kernel_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_simhash_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components_of(_table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op2_ranked_vbyte, op6_segment_tree_bpe, op8_string_kernel_lang, op9_simhash_positional)}

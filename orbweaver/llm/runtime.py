@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch; long texts make larger batches heavy on a Python worker.
-BATCH_ROWS = 512
+#: Bytes of one Arrow batch; rows here can hold long texts, and larger batches are heavy on a Python worker.
+BATCH_BYTES = 4 << 20
 #: Characters that a Python worker takes on at a time.
 CHUNK_CHARS = 1_000_000
 
@@ -62,9 +62,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches of few rows, since rows here hold whole texts."""
+    """mapInArrow in batches of bounded bytes, since rows here hold whole texts."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(function, schema)
 
 
