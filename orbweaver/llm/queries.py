@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, simhash, vbyte
+from . import bpe, langid, license_scan, simhash, vbyte
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,4 +33,8 @@ def op9_simhash_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(_table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op2_ranked_vbyte, op6_segment_tree_bpe, op8_string_kernel_lang, op9_simhash_positional)}
+def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op2_ranked_vbyte, op6_segment_tree_bpe, op8_string_kernel_lang, op9_simhash_positional, op10_license_diagonals)}
