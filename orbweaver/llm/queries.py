@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, license_scan, simhash, vbyte
+from . import bpe, langid, license_scan, line_dedup, mixing, pii, simhash, vbyte
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,14 +17,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_ranked_vbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vbyte.round_trip(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_site_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.drop_boilerplate(documents, n_lines="n_lines", n_dropped="n_dropped").drop("source")
+
+
+ORACLES["op4_site_line_frequency"] = line_dedup.oracle()
+
+
 def op6_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.take(_table(spark, sf_dir, "documents"))
+
+
 def op8_string_kernel_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -37,4 +53,4 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op2_ranked_vbyte, op6_segment_tree_bpe, op8_string_kernel_lang, op9_simhash_positional, op10_license_diagonals)}
+QUERIES |= {f.__name__: f for f in (op1_feistel_pseudonyms, op2_ranked_vbyte, op4_site_line_frequency, op6_segment_tree_bpe, op7_block_mixing, op8_string_kernel_lang, op9_simhash_positional, op10_license_diagonals)}
