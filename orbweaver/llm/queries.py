@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, license_scan, line_dedup, mixing, pii, simhash, vbyte
+from . import bpe, embed_dedup, langid, license_scan, line_dedup, mixing, pii, simhash, vbyte
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,10 @@ def op2_ranked_vbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vbyte.round_trip(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_site_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.drop_boilerplate(documents, n_lines="n_lines", n_dropped="n_dropped").drop("source")
@@ -53,4 +57,4 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_feistel_pseudonyms, op2_ranked_vbyte, op4_site_line_frequency, op6_segment_tree_bpe, op7_block_mixing, op8_string_kernel_lang, op9_simhash_positional, op10_license_diagonals)}
+QUERIES |= {f.__name__: f for f in (op1_feistel_pseudonyms, op2_ranked_vbyte, op3_pivot_range_join, op4_site_line_frequency, op6_segment_tree_bpe, op7_block_mixing, op8_string_kernel_lang, op9_simhash_positional, op10_license_diagonals)}
