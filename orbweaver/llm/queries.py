@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, langid, license_scan, line_dedup, mixing, pii, simhash, vbyte
+from . import ann, bpe, embed_dedup, langid, license_scan, line_dedup, mixing, pii, simhash, vbyte
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +38,10 @@ def op4_site_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_site_line_frequency"] = line_dedup.oracle()
 
 
+def op5_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -57,4 +62,4 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_feistel_pseudonyms, op2_ranked_vbyte, op3_pivot_range_join, op4_site_line_frequency, op6_segment_tree_bpe, op7_block_mixing, op8_string_kernel_lang, op9_simhash_positional, op10_license_diagonals)}
+QUERIES |= {f.__name__: f for f in (op1_feistel_pseudonyms, op2_ranked_vbyte, op3_pivot_range_join, op4_site_line_frequency, op5_hash_prefix_forest, op6_segment_tree_bpe, op7_block_mixing, op8_string_kernel_lang, op9_simhash_positional, op10_license_diagonals)}
