@@ -78,7 +78,7 @@ class SegmentTreeBPE:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], -1)
 
-    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_pieces(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         words = [p.encode() for p in pieces]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         out: list = [None] * len(words)
@@ -93,7 +93,7 @@ class SegmentTreeBPE:
                     out[k] = ids
         for k in special:
             out[k] = np.array([self.special[pieces[k]]])
-        return np.concatenate(out).astype(np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32), np.fromiter(map(len, out), np.int64, len(out))
+        return pieces, np.concatenate(out).astype(np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32), np.fromiter(map(len, out), np.int64, len(out))
 
     def merge(self, words: list[bytes], width: int) -> list[np.ndarray]:
         """Ids of byte strings of at most `width` (a power of two) bytes, merged in step."""
@@ -181,6 +181,17 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "text")
     return map_batches(df, run, ", ".join(fields))
 
 
+def verified(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", n_tokens: str = "n_tokens") -> DataFrame:
+    """df with token ids and their number; the text is what the ids decode to."""
+
+    def made(bpe: SegmentTreeBPE, texts: list[str]) -> list[pa.Array]:
+        found = [x.astype(np.int32) for x in bpe.encode(texts)]
+        back = [bpe.decode(x.tolist()) for x in found]
+        return [pa.array(back, pa.string()), pa.array(found, pa.list_(pa.int32())), pa.array(map(len, found), pa.int64())]
+
+    return _rows(df, path, text, f"`{text}` string, `{ids}` array<int>, `{n_tokens}` long", made)
+
+
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_tokens, and SHA-256 of the decimal ids joined by commas and of the decoded text."""
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of one Arrow batch; rows here can hold long texts, and larger batches are heavy on a Python worker.
 BATCH_BYTES = 4 << 20
 #: Characters that a Python worker takes on at a time.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 2000000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,9 +88,12 @@ def ragged(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndar
 
 
 class Memo:
-    """Token ids of pieces of text, kept from one batch to the next; emptied when it holds `most` pieces, so memory is bounded."""
+    """Token ids of pieces of text, kept from one batch to the next; emptied when it holds `most` pieces, so memory is bounded.
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 600_000):
+    encode: gives the pieces in an order of its own, all their ids in that order, and how many each has.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], most: int = 600_000):
         self.encode, self.most = encode, most
         self._clear()
 
@@ -111,7 +114,7 @@ class Memo:
             self._clear()
         new = list(set(pieces).difference(self.at))
         if new:
-            flat, lengths = self.encode(new)
+            new, flat, lengths = self.encode(new)
             n, k = len(self.at), len(new)
             self.starts, self.lengths = self._grown(self.starts, n + k), self._grown(self.lengths, n + k)
             self.flat = self._grown(self.flat, self.used + len(flat))

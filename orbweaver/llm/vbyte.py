@@ -17,10 +17,12 @@ are all kept, in order of their ids. An empty table gives empty files. Other col
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,27 +64,56 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class _Words:
-    """The library's encoding, by stretches without blank or line feed, which no token or special token crosses."""
+    """The library's encoding, by stretches without blank or line feed, which no token or special token crosses.
+
+    A-Z go to lower case beforehand, as the vocabulary's normalizer has it, unless a text may hold a special token. So
+    fewer different stretches are left for the library. Those that are plain letters, perhaps with full stops or commas
+    at the end, are one or two pre-tokens, which neither the normalizer nor the pre-tokenizer changes; they go to the
+    library in long rows, without these two, and are told apart by the mark that each pre-token's last token has.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
-
-        def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids = [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            return np.array([k for x in ids for k in x], np.uint16), np.fromiter(map(len, ids), np.int64, len(ids))
-
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        tokenizer, lean = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (tokenizer, lean):
+            t.no_padding()
+            t.no_truncation()
+        lean.normalizer = None
+        lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         if tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids are held in 16 bits here")
-        self.memo = Memo(encode)
+        mark = tokenizer.model.end_of_word_suffix
+        ends = np.zeros(1 << 16, bool)
+        if mark:
+            ends[[k for token, k in tokenizer.get_vocab().items() if token.endswith(mark)]] = True
+        plain = re.compile("([a-zß-öø-ÿ]+)([,.]*)").fullmatch
+
+        def ids_of(tokenizer: Tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(ids), np.uint16), np.fromiter(map(len, ids), np.int64, len(ids))
+
+        def library(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+            rows, rest, pieces, counts = [], [], [], []
+            for w in words:
+                if mark and (m := plain(w)):
+                    core, tail = m.groups()
+                    rows.append(w)
+                    pieces.append(f"{core} {tail}" if tail else core)
+                    counts.append(2 if tail else 1)
+                else:
+                    rest.append(w)
+            flat, _ = ids_of(lean, [" ".join(pieces[k : k + 256]) for k in range(0, len(pieces), 256)])
+            last = np.flatnonzero(ends[flat])[np.cumsum(counts, dtype=np.int64) - 1]
+            more, lengths = ids_of(tokenizer, rest)
+            return rows + rest, np.concatenate([flat, more]), np.concatenate([np.diff(last, prepend=-1), lengths])
+
+        self.memo = Memo(library, 1_500_000)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        ids, lengths = self.memo.ids([w for x in words for w in x])
+        words = [(t if "<|" in t else t.encode().lower().decode()).replace("\n", " ").split(" ") for t in texts]
+        ids, lengths = self.memo.ids(list(chain.from_iterable(words)))
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, words)])]
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
@@ -93,40 +124,42 @@ def load(path: str) -> _Words:
 
 
 def _tokenized(df: DataFrame, path: str, end_id: int, key: str, text: str) -> DataFrame:
-    """key, n_tokens and the ids as 16-bit bytes, in ascending order of the key over the partitions and within each."""
+    """Rows of key, n_tokens and the ids as 16-bit bytes, and, where n_tokens is null, of how often each id occurs in a partition."""
+
+    def rows(key: pa.Array, n: list, ids: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["key", "n_tokens", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = load(path), np.array([end_id], np.uint16)
+        words, end, total = load(path), np.array([end_id], np.uint16), np.zeros(1 << 16, np.int64)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks(texts):
                 ids = [np.concatenate([x, end]).astype("<u2") for x in words.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["key", "n_tokens", "ids"]
-                )
+                total += np.bincount(np.concatenate(ids), minlength=1 << 16)
+                yield rows(batch.column(0).slice(a, b - a), [len(x) for x in ids], [x.tobytes() for x in ids])
+        yield rows(pa.nulls(1, pa.int64()), [None], [zlib.compress(total.astype("<i8").tobytes(), 1)])
 
     return map_batches(df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), run, "key long, n_tokens long, ids binary")
 
 
-def _counts(ids: DataFrame) -> DataFrame:
-    """How often each id occurs, in one row for each id and partition and then for each id."""
+def _counts(tallies: DataFrame) -> DataFrame:
+    """(id, n) of the whole corpus from the partitions' tallies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], ["id", "n"])
+            for x in batch.column(0).to_pylist():
+                total = np.frombuffer(zlib.decompress(x), "<i8")
+                found = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], ["id", "n"])
 
-    return map_batches(ids.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return map_batches(tallies.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(df: DataFrame, path: str, to: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> None:
     """Write the file set at `to`. The rank table has a row for each id of the vocabulary at most (65536)."""
     spark = df.sparkSession
-    ids = written(_tokenized(df, path, end_id, key, text), "ids")
-    counted = sorted(((r["n"], r["id"]) for r in _counts(ids).collect()), key=lambda x: (-x[0], x[1]))
+    staged = written(_tokenized(df, path, end_id, key, text), "ids")
+    counted = sorted(((r["n"], r["id"]) for r in _counts(staged.where("n_tokens is null")).collect()), key=lambda x: (-x[0], x[1]))
     rank_of = np.zeros(1 << 16, np.uint32)
     rank_of[[k for _, k in counted]] = np.arange(len(counted))
     spark.createDataFrame([(rank, k) for rank, (_, k) in enumerate(counted)], "rank int, id int").coalesce(1).write.parquet(f"{to}/ranks")
@@ -156,9 +189,9 @@ def write(df: DataFrame, path: str, to: str, end_id: int = 2, key: str = "doc_id
             yield block()
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ids.repartitionByRange(parts, "key", "ids").sortWithinPartitions("key", "ids")
+    ordered = staged.where("n_tokens is not null").repartitionByRange(parts, "key").sortWithinPartitions("key", "ids")
     map_batches(ordered, run, "part int, block int, start long, keys array<long>, n_tokens array<long>, control binary, data binary").write.parquet(f"{to}/blocks")
-    drop_written(ids)
+    drop_written(staged)
 
 
 def read(spark: SparkSession, at: str) -> DataFrame:
