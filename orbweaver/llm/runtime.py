@@ -106,10 +106,8 @@ class Memo:
     def _grown(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
-    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the pieces, and how many ids each piece has."""
-        if not pieces:
-            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+    def places(self, pieces: list[str]) -> np.ndarray:
+        """For each piece where its ids are in `starts`, `lengths` and `flat`, until the next call."""
         if len(self.at) > self.most:
             self._clear()
         new = list(set(pieces).difference(self.at))
@@ -123,6 +121,12 @@ class Memo:
             self.flat[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
             self.at.update(zip(new, range(n, n + k), strict=True))
-        which = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
-        lengths = self.lengths[which]
-        return ragged(self.starts[which], lengths, self.flat), lengths
+        return np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces at the places, and how many ids each piece has."""
+        lengths = self.lengths[places]
+        return ragged(self.starts[places], lengths, self.flat), lengths
+
+    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.gather(self.places(pieces))

@@ -26,10 +26,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import Memo, chunks, drop_written, map_batches, shared_dir, written
+from .runtime import Memo, drop_written, map_batches, shared_dir, written
 
 #: Tokens after which a block ends; one document is never divided.
 BLOCK_TOKENS = 1 << 18
@@ -111,11 +112,22 @@ class _Words:
 
         self.memo = Memo(library, 1_500_000)
 
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many ids each text has. Arrow splits the texts and finds the different stretches."""
+        if not len(texts):
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        texts = pc.fill_null(texts, "")
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        words = pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
+        counts = np.asarray(pc.list_value_length(words), np.int64)
+        different = words.flatten().dictionary_encode()
+        places = self.memo.places(different.dictionary.to_pylist())
+        ids, lengths = self.memo.gather(places[np.asarray(different.indices)])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)], prepend=0)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [(t if "<|" in t else t.encode().lower().decode()).replace("\n", " ").split(" ") for t in texts]
-        ids, lengths = self.memo.ids(list(chain.from_iterable(words)))
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, words)])]
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        ids, lengths = self.flat(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(lengths)[:-1])
 
 
 @lru_cache(maxsize=2)
@@ -126,18 +138,18 @@ def load(path: str) -> _Words:
 def _tokenized(df: DataFrame, path: str, end_id: int, key: str, text: str) -> DataFrame:
     """Rows of key, n_tokens and the ids as 16-bit bytes, and, where n_tokens is null, of how often each id occurs in a partition."""
 
-    def rows(key: pa.Array, n: list, ids: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["key", "n_tokens", "ids"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, total = load(path), np.array([end_id], np.uint16), np.zeros(1 << 16, np.int64)
+        words, names, total = load(path), ["key", "n_tokens", "ids"], np.zeros(1 << 16, np.int64)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts):
-                ids = [np.concatenate([x, end]).astype("<u2") for x in words.encode(texts[a:b])]
-                total += np.bincount(np.concatenate(ids), minlength=1 << 16)
-                yield rows(batch.column(0).slice(a, b - a), [len(x) for x in ids], [x.tobytes() for x in ids])
-        yield rows(pa.nulls(1, pa.int64()), [None], [zlib.compress(total.astype("<i8").tobytes(), 1)])
+            ids, lengths = words.flat(batch.column(1))
+            ends = np.cumsum(lengths)
+            ids = np.insert(ids, ends, end_id).astype("<u2")
+            total += np.bincount(ids, minlength=1 << 16)
+            offsets = np.concatenate([[0], 2 * (ends + np.arange(1, len(ends) + 1))]).astype("<i4")
+            packed = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths + 1), packed], names)
+        tally = zlib.compress(total.astype("<i8").tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([tally], pa.binary())], names)
 
     return map_batches(df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), run, "key long, n_tokens long, ids binary")
 
