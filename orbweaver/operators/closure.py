@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.grammar import Grammar
-from ..sources.tables import new_path, remove, write_counted
+from ..sources.tables import local_table, new_path, remove, write_counted
 from .graph import EDGE, LabeledGraph
 from .rules import apply_binary, apply_unit, epsilon_edges, merge_edges, new_edges
 
@@ -39,7 +39,7 @@ class _Known:
         return n
 
     def read(self, tables: list[tuple[int, str]]) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(*(p for _, p in tables)) if tables else self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(*(p for _, p in tables)) if tables else local_table(self.spark, [], SCHEMA)
 
     def all(self) -> DataFrame:
         return self.read(self.tables)
@@ -76,7 +76,7 @@ class ClosureResult:
         return self.passes[-1][2]
 
     def statistics(self) -> DataFrame:
-        return self.edges.sparkSession.createDataFrame(self.passes, "pass int, new_edges long, all_edges long, seconds double")
+        return local_table(self.edges.sparkSession, self.passes, "pass int, new_edges long, all_edges long, seconds double")
 
 
 def closure(

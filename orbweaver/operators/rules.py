@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.grammar import Rule
+from ..sources.tables import local_table
 from .graph import EDGE
 
 
 def _table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """The rules, as many as a grammar has: a table of fixed size that is broadcast."""
-    return F.broadcast(spark.createDataFrame([(r.lhs, r.rhs1, r.rhs2) for r in rules], "lhs string, rhs1 string, rhs2 string"))
+    return F.broadcast(local_table(spark, [(r.lhs, r.rhs1, r.rhs2) for r in rules], "lhs string, rhs1 string, rhs2 string"))
 
 
 def epsilon_edges(vertices: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import LabeledGraph
 from ..plans.grammar import Grammar
+from .tables import local_table
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +55,7 @@ def write_graph(graph: LabeledGraph, path: str) -> None:
     edges = graph.edges.orderBy("src", "dst", "label").select(F.concat_ws("\t", "src", "dst", "label").alias("value"))
     spark = graph.edges.sparkSession
     highest = graph.vertices.agg(F.max("id")).first()[0]
-    head = spark.createDataFrame([(f"{graph.edges.count()}\t{0 if highest is None else highest + 1}",)], "value string")
+    head = local_table(spark, [(f"{graph.edges.count()}\t{0 if highest is None else highest + 1}",)], "value string")
     head.coalesce(1).write.text(path)
     edges.write.mode("append").text(path)
 

@@ -10,7 +10,7 @@ from ..operators.closure import SCHEMA
 from ..operators.graph import EDGE
 from ..operators.rules import apply_binary, apply_unit, epsilon_edges, merge_edges, new_edges
 from ..plans.grammar import Grammar
-from ..sources.tables import written
+from ..sources.tables import local_table, written
 
 
 def extend(closed: DataFrame, edges: DataFrame, grammar: Grammar) -> DataFrame:
@@ -46,6 +46,6 @@ def read_closure(spark: SparkSession, path: str, before: int | None = None) -> D
     """The closure kept at path, of the batches before a number if one is given."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], SCHEMA)
+        return local_table(spark, [], SCHEMA)
     found = spark.read.schema(SCHEMA + ", batch long").parquet(path)
     return (found if before is None else found.where(F.col("batch") < before)).select(*EDGE)
