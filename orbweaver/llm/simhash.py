@@ -76,7 +76,8 @@ def _postings(batches: Iterator[pa.RecordBatch], masks: np.ndarray, shared: int,
     """From rows (which, rep, fp0, ...) sorted by posting: links among each posting's members, as a spanning forest."""
 
     def far(fps: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return sum(np.bitwise_count(f[x] ^ f[y]) for f in fps)
+        # bitwise_count takes the magnitude of signed numbers
+        return sum(np.bitwise_count((f[x] ^ f[y]).view(np.uint64)) for f in fps)
 
     def links(which: np.ndarray, rep: np.ndarray, *fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         bytes_ = np.stack(fps)[which // len(masks), np.arange(len(which))] & masks[which % len(masks)]
