@@ -1,9 +1,8 @@
-"""Shared folders, written tables and Arrow batches."""
+"""Arrow batches, the package on the executors, and ids kept from batch to batch."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -12,39 +11,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import drop_written, local_table, shared_dir, written
+
+__all__ = ["BATCH_BYTES", "CHUNK_CHARS", "Memo", "chunks", "drop_written", "local_table", "map_batches", "ragged", "shared_dir", "ship", "written"]
+
 #: Bytes of one Arrow batch; rows here can hold long texts, and larger batches are heavy on a Python worker.
 BATCH_BYTES = 4 << 20
 #: Characters that a Python worker takes on at a time.
 CHUNK_CHARS = 2000000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='orbweaver-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df from a Parquet table in the shared folder: it cuts the lineage, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Remove a table that written() made and that no plan reads any more."""
-    if path := getattr(df, "_written_at", None):
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Give the executors this package once for each context, so that their Python workers can import it."""
     context = spark.sparkContext

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import Memo, drop_written, map_batches, shared_dir, written
+from .runtime import Memo, drop_written, local_table, map_batches, shared_dir, written
 
 #: Tokens after which a block ends; one document is never divided.
 BLOCK_TOKENS = 1 << 18
@@ -64,10 +64,14 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+#: Special tokens, and letters that may compose with a mark in one case only.
+_CASE_MATTERS = r"<\||[A-Z]\pM"
+
+
 class _Words:
     """The library's encoding, by stretches without blank or line feed, which no token or special token crosses.
 
-    A-Z go to lower case beforehand, as the vocabulary's normalizer has it, unless a text may hold a special token. So
+    A-Z go to lower case beforehand, as the vocabulary's normalizer has it, except in texts where case matters first. So
     fewer different stretches are left for the library. Those that are plain letters, perhaps with full stops or commas
     at the end, are one or two pre-tokens, which neither the normalizer nor the pre-tokenizer changes; they go to the
     library in long rows, without these two, and are told apart by the mark that each pre-token's last token has.
@@ -117,7 +121,7 @@ class _Words:
         if not len(texts):
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
         texts = pc.fill_null(texts, "")
-        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        lower = pc.if_else(pc.match_substring_regex(texts, _CASE_MATTERS), texts, pc.ascii_lower(texts))
         words = pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
         counts = np.asarray(pc.list_value_length(words), np.int64)
         different = words.flatten().dictionary_encode()
@@ -174,7 +178,7 @@ def write(df: DataFrame, path: str, to: str, end_id: int = 2, key: str = "doc_id
     counted = sorted(((r["n"], r["id"]) for r in _counts(staged.where("n_tokens is null")).collect()), key=lambda x: (-x[0], x[1]))
     rank_of = np.zeros(1 << 16, np.uint32)
     rank_of[[k for _, k in counted]] = np.arange(len(counted))
-    spark.createDataFrame([(rank, k) for rank, (_, k) in enumerate(counted)], "rank int, id int").coalesce(1).write.parquet(f"{to}/ranks")
+    local_table(spark, [(rank, k) for rank, (_, k) in enumerate(counted)], "rank int, id int").coalesce(1).write.parquet(f"{to}/ranks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
