@@ -12,7 +12,7 @@ from ..operators.closure import closure
 from ..operators.graph import LabeledGraph
 from ..operators.rules import apply_binary, apply_unit, epsilon_edges, merge_edges, new_edges
 from ..operators.statistics import degrees, edge_count, interval_plan, label_counts, next_pair, pair_weights, vertex_intervals
-from ..sources.files import adjacency, edges_of
+from ..sources.files import adjacency, edges_of, within
 from .grammar import Grammar, Rule
 
 #: A points-to grammar: memory aliases (M) and value aliases (V) over dereferences (d) and assignments (a).
@@ -54,9 +54,18 @@ def event_edges(spark: SparkSession, sf_dir: str, label) -> DataFrame:
     return _steps(events, F.col("event_id"), ["user_id"], ["ts", "event_id"], label)
 
 
-def part_edges(spark: SparkSession, sf_dir: str, vertex, label: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity").where("l_quantity >= 49")
-    return _steps(lines, vertex, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], F.lit(label)).distinct()
+def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Window]:
+    """The lines of orders, each with a vertex of its own, and their order."""
+    along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return lines.withColumn("line", (F.col("l_orderkey") * 100 + F.row_number().over(along)).cast("long")), along
+
+
+def line_edges(spark: SparkSession, sf_dir: str, label: str = "n", scale: int = 1) -> DataFrame:
+    """An edge from each line to the next of the same order."""
+    lines, along = _lines(spark, sf_dir)
+    steps = lines.select((F.col("line") * scale).alias("src"), F.lit(label).alias("label"), (F.lead("line").over(along) * scale).alias("dst"))
+    return steps.where("dst is not null")
 
 
 def place_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +76,9 @@ def place_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alias_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity").where("l_quantity >= 49")
-    d = lines.select((F.col("l_partkey") * 2).cast("long").alias("src"), F.lit("d").alias("label"), (F.col("l_suppkey") * 2 + 1).cast("long").alias("dst"))
-    return part_edges(spark, sf_dir, F.col("l_partkey") * 2, "a").union(d).distinct()
+    """a: a line is assigned to the next of its order; d: a line refers to its part. Lines are even, parts odd."""
+    d = _lines(spark, sf_dir)[0].select((F.col("line") * 2).alias("src"), F.lit("d").alias("label"), (F.col("l_partkey") * 2 + 1).cast("long").alias("dst"))
+    return line_edges(spark, sf_dir, "a", 2).union(d)
 
 
 def _closed(edges: DataFrame, grammar: Grammar, label: str, mode: str = "full", inverses: list[str] | None = None) -> DataFrame:
@@ -103,13 +112,13 @@ def same_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alias_points_to(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memory aliases under the points-to grammar."""
+    """Memory aliases under the points-to grammar: parts that lines of one order refer to."""
     return _closed(alias_edges(spark, sf_dir), POINTS_TO, "M", inverses=["a", "d"])
 
 
-def part_flow_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that large lines of orders lead to."""
-    return _closed(part_edges(spark, sf_dir, F.col("l_partkey"), "n"), REACH, "P")
+def line_flow_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every later line of the same order."""
+    return _closed(line_edges(spark, sf_dir), REACH, "P")
 
 
 def dataflow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,13 +147,13 @@ def compose_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delta_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-step edges between orders that are no one-step edges between parts of large lines."""
-    orders = order_edges(spark, sf_dir)
-    return new_edges(apply_binary(orders, orders, [Rule("n", "n", "n")]), part_edges(spark, sf_dir, F.col("l_partkey"), "n"))
+    """Pairs of a line and one of the next two of its order that are no pairs of neighbours."""
+    lines = line_edges(spark, sf_dir)
+    return new_edges(apply_binary(lines, lines, [Rule("n", "n", "n")]).union(lines), lines)
 
 
 def union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_edges(order_edges(spark, sf_dir), part_edges(spark, sf_dir, F.col("l_partkey"), "n"), order_edges(spark, sf_dir))
+    return merge_edges(order_edges(spark, sf_dir), line_edges(spark, sf_dir), order_edges(spark, sf_dir))
 
 
 def degree_by_src(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +169,7 @@ def label_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def final_edge_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edge_count(closure(LabeledGraph.from_dataframe(part_edges(spark, sf_dir, F.col("l_partkey"), "n")), REACH).edges)
+    return edge_count(closure(LabeledGraph.from_dataframe(line_edges(spark, sf_dir)), REACH).edges)
 
 
 def adjacency_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +186,22 @@ def bit_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.withColumn("vertex", vertex_of("base", "unit", "bit"))
 
 
+def interval_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the sources of one interval."""
+    return within(alias_edges(spark, sf_dir), 10_000, 200_000)
+
+
+def distinct_label_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alias_edges(spark, sf_dir).agg(F.count_distinct("label").alias("n_labels"))
+
+
+def degree_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges and elements of each source among known edges (old) and among those that one more step adds (delta)."""
+    old = place_edges(spark, sf_dir)
+    delta = new_edges(apply_binary(old, old, [Rule("u", "u", "u")]), old)
+    return degrees(old.withColumn("region", F.lit("old")).union(delta.withColumn("region", F.lit("delta"))), "region")
+
+
 def _intervals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     edges = alias_edges(spark, sf_dir)
     return edges, vertex_intervals(edges, LabeledGraph.from_dataframe(edges).vertices, BUDGET)
@@ -201,19 +226,19 @@ def inverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.removesuffix("_q"): f
     for f in (
-        conv_reach, order_chain_reach, dyck_events, same_generation, alias_points_to, part_flow_reach, dataflow_events, points_to_labels,
+        conv_reach, order_chain_reach, dyck_events, same_generation, alias_points_to, line_flow_reach, dataflow_events, points_to_labels,
         eps_only, unit_rename, compose_once, delta_except, union_dedup, degree_by_src, elements_by_src, label_counts_q, final_edge_count,
-        adjacency_export, adjacency_decode, bit_positions, interval_plan_q, pair_weights_q, next_pair_q, inverse_edges,
+        adjacency_export, adjacency_decode, bit_positions, interval_scan, distinct_label_count, degree_by_region, interval_plan_q, pair_weights_q, next_pair_q, inverse_edges,
     )
 }
 
 # The same edges in SQL, as common table expressions e(s, l, d)
 _CONV = "c AS (SELECT conv_id * 1000 + turn AS s, lead(conv_id * 1000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS d FROM conversations), e AS (SELECT DISTINCT s::BIGINT AS s, 'n' AS l, d::BIGINT AS d FROM c WHERE d IS NOT NULL)"
 _ORDERS = "c AS (SELECT o_orderkey AS s, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS d FROM orders), e AS (SELECT s::BIGINT AS s, 'n' AS l, d::BIGINT AS d FROM c WHERE d IS NOT NULL)"
-_PARTS = "pc AS (SELECT l_partkey AS s, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS d FROM lineitem WHERE l_quantity >= 49), pe AS (SELECT DISTINCT s::BIGINT AS s, 'n' AS l, d::BIGINT AS d FROM pc WHERE d IS NOT NULL)"
+_LINES = "lc AS (SELECT l_partkey, l_orderkey * 100 + row_number() OVER w AS line, l_orderkey * 100 + row_number() OVER w + 1 AS follower, lead(1) OVER w AS more FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)), le AS (SELECT line::BIGINT AS s, 'n' AS l, follower::BIGINT AS d FROM lc WHERE more IS NOT NULL)"
 _EVENTS = "c AS (SELECT event_id AS s, event_type AS t, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events)"
 _PLACES = "e AS (SELECT s_suppkey::BIGINT * 10 AS s, 'u' AS l, s_nationkey::BIGINT * 10 + 1 AS d FROM supplier UNION SELECT n_nationkey::BIGINT * 10 + 1, 'u', n_regionkey::BIGINT * 10 + 2 FROM nation)"
-_ALIAS = _PARTS + ", e AS (SELECT s * 2 AS s, 'a' AS l, d * 2 AS d FROM pe UNION SELECT l_partkey::BIGINT * 2, 'd', l_suppkey::BIGINT * 2 + 1 FROM lineitem WHERE l_quantity >= 49)"
+_ALIAS = _LINES + ", e AS (SELECT s * 2 AS s, 'a' AS l, d * 2 AS d FROM le UNION ALL SELECT line::BIGINT * 2, 'd', l_partkey::BIGINT * 2 + 1 FROM lc)"
 _INVERSE = "i AS (SELECT s, l, d FROM e UNION SELECT d, '-' || l, s FROM e)"
 
 
@@ -247,7 +272,7 @@ _WEIGHTS = f"{_PID}, deg AS (SELECT s, count(*) AS n FROM e GROUP BY s), w AS (S
 ORACLES: dict[str, str] = {
     "conv_reach": _linear(_CONV),
     "order_chain_reach": _linear(_ORDERS),
-    "part_flow_reach": _linear(_PARTS, "pe"),
+    "line_flow_reach": _linear(_LINES, "le"),
     "dyck_events": _full(_EVENTS + ", e AS (SELECT s, CASE t WHEN 'view' THEN 'o' WHEN 'purchase' THEN 'c' ELSE 'x' END AS l, d FROM c WHERE d IS NOT NULL)", "e", "SELECT event_id FROM events", BALANCED, _of("S")),
     "same_generation": _full(f"{_PLACES}, {_INVERSE}", "i", _ENDS.format("i"), SAME_GENERATION, _of("SG")),
     "alias_points_to": _full(f"{_ALIAS}, {_INVERSE}", "i", _ENDS.format("i"), POINTS_TO, _of("M")),
@@ -256,15 +281,18 @@ ORACLES: dict[str, str] = {
     "eps_only": f"WITH {_PLACES} SELECT v AS src, 'A' AS label, v AS dst FROM (SELECT s AS v FROM e UNION SELECT d FROM e)",
     "unit_rename": f"WITH {_ORDERS} SELECT s AS src, 'A' AS label, d AS dst FROM e",
     "compose_once": f"WITH {_PLACES} SELECT DISTINCT x.s AS src, 'A' AS label, y.d AS dst FROM e x JOIN e y ON x.d = y.s",
-    "delta_except": f"WITH {_ORDERS}, {_PARTS} SELECT x.s AS src, 'n' AS label, y.d AS dst FROM e x JOIN e y ON x.d = y.s EXCEPT SELECT s, l, d FROM pe",
-    "union_dedup": f"WITH {_ORDERS}, {_PARTS} SELECT s AS src, l AS label, d AS dst FROM e UNION SELECT s, l, d FROM pe",
+    "delta_except": f"WITH {_LINES} SELECT x.s AS src, 'n' AS label, y.d AS dst FROM le x JOIN le y ON x.d = y.s EXCEPT SELECT s, l, d FROM le",
+    "union_dedup": f"WITH {_ORDERS}, {_LINES} SELECT s AS src, l AS label, d AS dst FROM e UNION SELECT s, l, d FROM le",
     "degree_by_src": f"WITH {_ALIAS} SELECT s AS src, count(*) AS n_edges FROM e GROUP BY s",
     "elements_by_src": f"WITH {_ALIAS} SELECT s AS src, count(DISTINCT (d // 192, l)) AS n_elements FROM e GROUP BY s",
     "label_counts": f"WITH RECURSIVE {_CONV}, p(s, d) AS (SELECT s, d FROM e UNION SELECT p.s, e.d FROM p JOIN e ON p.d = e.s) SELECT 'n' AS label, count(*) AS n_edges FROM e HAVING count(*) > 0 UNION ALL SELECT 'P', count(*) FROM p HAVING count(*) > 0",
-    "final_edge_count": f"WITH RECURSIVE {_PARTS}, p(s, d) AS (SELECT s, d FROM pe UNION SELECT p.s, pe.d FROM p JOIN pe ON p.d = pe.s) SELECT (SELECT count(*) FROM pe) + (SELECT count(*) FROM p) AS n_edges",
+    "final_edge_count": f"WITH RECURSIVE {_LINES}, p(s, d) AS (SELECT s, d FROM le UNION SELECT p.s, le.d FROM p JOIN le ON p.d = le.s) SELECT (SELECT count(*) FROM le) + (SELECT count(*) FROM p) AS n_edges",
     "adjacency_export": f"WITH {_ALIAS} SELECT s AS src, l AS label, string_agg(d::VARCHAR, ',' ORDER BY d) AS targets FROM e GROUP BY s, l",
     "adjacency_decode": f"WITH {_ALIAS} SELECT s AS src, l AS label, d AS dst FROM e",
     "bit_positions": f"WITH {_ALIAS} SELECT DISTINCT d AS dst, d // 192 AS base, (d % 192 // 32)::INTEGER AS unit, (d % 32)::INTEGER AS bit, d AS vertex FROM e",
+    "interval_scan": f"WITH {_ALIAS} SELECT s AS src, l AS label, d AS dst FROM e WHERE s BETWEEN 10000 AND 200000",
+    "distinct_label_count": f"WITH {_ALIAS} SELECT count(DISTINCT l) AS n_labels FROM e",
+    "degree_by_region": f"WITH {_PLACES}, t AS (SELECT DISTINCT x.s, x.l, y.d FROM e x JOIN e y ON x.d = y.s), a AS (SELECT *, 'old' AS region FROM e UNION ALL (SELECT *, 'delta' FROM (SELECT s, l, d FROM t EXCEPT SELECT s, l, d FROM e))) SELECT s AS src, region, count(*) AS n_edges, count(DISTINCT (d // 192, l)) AS n_elements FROM a GROUP BY s, region",
     "interval_plan": f"WITH {_ALIAS}, {_PID} SELECT pid, min(id) AS first_id, max(id) AS last_id, sum(n)::BIGINT AS n_elements FROM pids GROUP BY pid",
     "pair_weights": f"WITH {_ALIAS}, {_WEIGHTS} SELECT p, q, weight FROM w",
     "next_pair": f"WITH {_ALIAS}, {_WEIGHTS} SELECT least(p, q) AS p, greatest(p, q) AS q, sum(weight)::BIGINT AS weight FROM w GROUP BY 1, 2 ORDER BY weight DESC, 1, 2 LIMIT 1",

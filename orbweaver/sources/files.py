@@ -65,9 +65,17 @@ def write_edges(edges: DataFrame, path: str) -> None:
     edges.repartition("label", F.pmod(F.xxhash64("src"), F.lit(64))).sortWithinPartitions("label", "src").write.partitionBy("label").parquet(path)
 
 
-def read_edges(spark: SparkSession, path: str, labels: list[str] | None = None) -> DataFrame:
-    found = spark.read.option("recursiveFileLookup", False).parquet(path).select("src", F.col("label").cast("string"), "dst")
-    return found if labels is None else found.where(F.col("label").isin(labels))
+def read_edges(spark: SparkSession, path: str, labels: list[str] | None = None, sources: tuple[int, int] | None = None) -> DataFrame:
+    """Edges of write_edges(): of some labels, whose folders alone are read, and of sources from one number to another."""
+    found = spark.read.parquet(path).select("src", F.col("label").cast("string"), "dst")
+    if labels is not None:
+        found = found.where(F.col("label").isin(labels))
+    return found if sources is None else within(found, *sources)
+
+
+def within(edges: DataFrame, first: int, last: int) -> DataFrame:
+    """The edges whose source is in an interval; Parquet skips row groups without any."""
+    return edges.where(F.col("src").between(first, last))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

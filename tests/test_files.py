@@ -39,6 +39,7 @@ def test_edges_by_label_and_adjacency(spark, tmp_path):
     write_edges(edges, f"file://{tmp_path}/e")
     assert rows(read_edges(spark, f"file://{tmp_path}/e")) == rows(edges)
     assert rows(read_edges(spark, f"file://{tmp_path}/e", ["b"])) == [(0, "b", 40000)]
+    assert rows(read_edges(spark, f"file://{tmp_path}/e", sources=(1, 3))) == [(3, "a", 1)]
     lists = adjacency(edges)
     assert {(r.src, r.label): r.targets for r in lists.collect()} == {(0, "a"): [1, 2], (0, "b"): [40000], (3, "a"): [1]}
     assert rows(edges_of(lists)) == rows(edges)
