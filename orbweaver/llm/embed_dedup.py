@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, forest
-from .runtime import map_batches, ship, written
+from .runtime import local_table, map_batches, ship, written
 
 #: Vectors that a cell is meant to have, vectors of a block, and pivots at most.
 CELL, BLOCK, PIVOTS = 8192, 4096, 1024
@@ -162,7 +162,7 @@ def near_links(vectors: DataFrame, least: float, cell: int = CELL, block: int =
 
         links = _blocked(dealt, counts, block).groupBy("cell", "left", "right").applyInArrow(joined, "rep long, links long, to long")
         out = links if out is None else out.union(links)
-    return out if out is not None else spark.createDataFrame([], "rep long, links long, to long")
+    return out if out is not None else local_table(spark, [], "rep long, links long, to long")
 
 
 def dedup(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", least: float = 0.95, cell: int = CELL, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .runtime import local_table
+
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -55,9 +57,9 @@ def _pairs(words) -> F.Column:
 def templates(spark: SparkSession, phrases: dict[str, str], texts: dict[str, str]) -> DataFrame:
     """A row for each word pair of each template, and one (template -1) that every text has."""
     rows = [(n, kind, label, t) for n, (kind, label, t) in enumerate([*(("base", v, k) for k, v in phrases.items()), *(("long", k, v) for k, v in texts.items())])]
-    table = spark.createDataFrame(rows, "template int, kind string, label string, text string").withColumn("words", _words(F.col("text")))
+    table = local_table(spark, rows, "template int, kind string, label string, text string").withColumn("words", _words(F.col("text")))
     pairs = table.select("template", "kind", "label", (F.size("words") - 1).alias("pairs"), F.posexplode(_pairs(F.col("words")))).where("col.b is not null")
-    every = spark.createDataFrame([(-1, "text", "", 1, 0, "", "")], "template int, kind string, label string, pairs int, q int, a string, b string")
+    every = local_table(spark, [(-1, "text", "", 1, 0, "", "")], "template int, kind string, label string, pairs int, q int, a string, b string")
     return pairs.select("template", "kind", "label", "pairs", F.col("pos").alias("q"), "col.a", "col.b").union(every).withColumn("h", F.xxhash64("a", "b"))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_batches, written
+from .runtime import local_table, map_batches, written
 
 #: Words of a block; slots of an output shard; shards at most (they grow beyond that).
 BLOCK, SLOTS, SHARDS = 256, 4096, 20_000
@@ -144,7 +144,7 @@ def slots(df: DataFrame, plan: Plan) -> DataFrame:
     """(shard, slot, source number, block index) of every output slot. df: any DataFrame of the session."""
     spark, blocks, seed = df.sparkSession, plan.blocks, plan.seed
     drawn = plan.draws()
-    rows = spark.createDataFrame(drawn, "shard int, n array<long>, first array<long>")
+    rows = local_table(spark, drawn, "shard int, n array<long>, first array<long>")
     rows = rows.repartition(max(1, min(len(drawn), int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def take(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     offsets = _offsets(df, key, text, source, False)
     plan = Plan(offsets, block, seed, weights, most, slots_, shards)
     taken = _taken(offsets, plan).groupBy("part", "row").agg(F.sum(F.col("times") * (F.col("z") - F.col("a"))).alias("taken"))
-    per_source = df.sparkSession.createDataFrame([(s, n, t) for s, n, t in zip(plan.sources, plan.sizes, plan.targets, strict=True)], "source string, source_size long, target double")
+    per_source = local_table(df.sparkSession, zip(plan.sources, plan.sizes, plan.targets, strict=True), "source string, source_size long, target double")
     rows = offsets.join(taken, (F.col("__part") == F.col("part")) & (F.col("__row") == F.col("row")), "left").join(F.broadcast(per_source), F.col("__source").eqNullSafe(F.col("source")))
     return rows.select(F.col("__key").alias(key), F.col("__size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
