@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .embed_dedup import _VALID, _matrix
-from .runtime import ship, written
+from .runtime import local_table, ship, written
 
 #: Trees of a forest, bits of a string, vectors of a shard, queries of a block.
 TREES, BITS, SHARD, QUERIES = 64, 24, 8192, 2048
 #: Candidates of a query in a shard: this share of its vectors, and at least so many.
-SHARE, LEAST = 0.45, 1536
+SHARE, LEAST = 0.5, 1536
 
 
 class Forest:
@@ -122,6 +122,6 @@ def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", emb
         found = data.union(asked).groupBy("shard", "block").applyInArrow(_searcher(k, top, share, least), "query long, query_id long, id long, score double")
         out = found if out is None else out.union(found)
     if out is None:
-        out = spark.createDataFrame([], "query long, query_id long, id long, score double")
+        out = local_table(spark, [], "query long, query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
