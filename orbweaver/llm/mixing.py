@@ -188,8 +188,9 @@ def _pieces(offsets: DataFrame, plan: Plan) -> DataFrame:
 
 def _taken(offsets: DataFrame, plan: Plan) -> DataFrame:
     """_pieces() with how often the mix takes each."""
-    times = slots(offsets, plan).groupBy("source_number", "block").agg(F.count("*").alias("times"))
-    return _pieces(offsets, plan).join(times, ["source_number", "block"])
+    times = written(slots(offsets, plan).groupBy("source_number", "block").agg(F.count("*").alias("times")), "times")
+    # Spark cannot tell how many rows come out of Python, and must not take either side for small
+    return _pieces(offsets, plan).join(times.hint("merge"), ["source_number", "block"])
 
 
 def take(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, slots_: int = SLOTS, shards: int = SHARDS) -> DataFrame:
@@ -198,7 +199,7 @@ def take(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     plan = Plan(offsets, block, seed, weights, most, slots_, shards)
     taken = _taken(offsets, plan).groupBy("part", "row").agg(F.sum(F.col("times") * (F.col("z") - F.col("a"))).alias("taken"))
     per_source = local_table(df.sparkSession, zip(plan.sources, plan.sizes, plan.targets, strict=True), "source string, source_size long, target double")
-    rows = offsets.join(taken, (F.col("__part") == F.col("part")) & (F.col("__row") == F.col("row")), "left").join(F.broadcast(per_source), F.col("__source").eqNullSafe(F.col("source")))
+    rows = offsets.join(taken.hint("merge"), (F.col("__part") == F.col("part")) & (F.col("__row") == F.col("row")), "left").join(F.broadcast(per_source), F.col("__source").eqNullSafe(F.col("source")))
     return rows.select(F.col("__key").alias(key), F.col("__size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -209,8 +210,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     """
     offsets = _offsets(df, key, text, source, True)
     plan = Plan(offsets, block, seed, weights, most, slots_, shards)
-    pieces = _taken(offsets, plan).groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("a", "z", "times"))).alias("__pieces"))
-    joined = offsets.join(pieces, (F.col("__part") == F.col("part")) & (F.col("__row") == F.col("row"))).select("__pieces", *(F.col(f"`{c}`") for c in df.columns))
+    pieces = _taken(offsets, plan).groupBy(F.col("part").alias("__p"), F.col("row").alias("__r")).agg(F.sort_array(F.collect_list(F.struct("a", "z", "times"))).alias("__pieces"))
+    joined = offsets.join(pieces.hint("merge"), (F.col("__part") == F.col("__p")) & (F.col("__row") == F.col("__r"))).select("__pieces", *(F.col(f"`{c}`") for c in df.columns))
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ def made():
 
 
 def frame(spark):
-    return spark.createDataFrame([(*r, 0) for r in made()], "doc_id long, text string, source string, block int")
+    return spark.createDataFrame([(*r, 0, 1, "x") for r in made()], "doc_id long, text string, source string, block int, row long, part string")
 
 
 def test_take(spark):
