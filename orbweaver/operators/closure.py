@@ -50,12 +50,12 @@ class _Known:
     def before(self) -> DataFrame:
         return self.read(self.tables[:-1])
 
-    def compact(self) -> None:
-        """Make one of the tables before the last; only called when no plan that reads them is still to run."""
-        if len(self.tables) <= SEGMENTS:
+    def compact(self, pinned: int) -> None:
+        """Make one of the tables before the last; the first `pinned` stay, and no plan that reads others is still to run."""
+        if len(self.tables) - pinned <= SEGMENTS:
             return
-        largest = max(range(len(self.tables) - 1), key=lambda k: self.tables[k][0])
-        some = self.tables[largest + 1 : -1] if largest < len(self.tables) - 3 else self.tables[:-1]
+        largest = max(range(pinned, len(self.tables) - 1), key=lambda k: self.tables[k][0])
+        some = self.tables[largest + 1 : -1] if largest < len(self.tables) - 3 else self.tables[pinned:-1]
         path = new_path(self.spark, "edges")
         n = write_counted(self.read(some), path)
         at = self.tables.index(some[0])
@@ -124,8 +124,7 @@ def closure(
         if max_passes is not None and len(passes) > max_passes:
             raise RuntimeError(f"not closed after {max_passes} passes")
         began = time.perf_counter()
-        if static is None:
-            known.compact()
+        known.compact(0 if static is None else 1)
         fresh = known.last()
         if static is not None:
             found = apply_binary(fresh, static, grammar.binary)

@@ -72,6 +72,8 @@ def test_tables_are_made_one_as_passes_go_on(spark, monkeypatch):
     monkeypatch.setattr(module, "SEGMENTS", 3)
     chain = [(k, "n", k + 1) for k in range(10)]
     assert sum(e[1] == "P" for e in result(spark, chain, Grammar.of("P ::= n", "P ::= P n"), rewrite=False)) == 55
+    flow = [(0, "N", 1), *((k, "e", k + 1) for k in range(1, 9))]
+    assert result(spark, flow, Grammar.of("N ::= N e"), mode="dataflow") == {*flow, *((0, "N", k) for k in range(1, 10))}
 
 
 LABELS = "abcd"
