@@ -96,10 +96,10 @@ def _dealt(vectors: DataFrame, size: int, pivots: np.ndarray, distance: float, r
 
 def _blocked(dealt: DataFrame, counts: dict[tuple[int, bool], int], block: int) -> DataFrame:
     """Rows of dealt, one for each product of two blocks that the row takes part in: cell, left and right block, side."""
-    blocks = F.create_map(*[F.lit(x) for (cell, inner), n in sorted(counts.items()) for x in (2 * cell + inner, -(-n // block))])
-    n_inner, n_outer = F.coalesce(F.element_at(blocks, 2 * F.col("cell") + 1), F.lit(0)), F.coalesce(F.element_at(blocks, 2 * F.col("cell")), F.lit(0))
-    own = F.pmod(F.xxhash64("v", "rep"), F.when(F.col("inner"), n_inner).otherwise(n_outer)).cast("int")
-    rows = dealt.withColumn("b", own).withColumn("ni", n_inner).withColumn("no", n_outer)
+    cells = sorted({cell for cell, _ in counts})
+    blocks = local_table(dealt.sparkSession, [(c, *(-(-counts.get((c, inner), 0) // block) for inner in (True, False))) for c in cells], "cell int, ni int, no int")
+    # a row for each pivot
+    rows = dealt.join(F.broadcast(blocks), "cell").withColumn("b", F.pmod(F.xxhash64("v", "rep"), F.when(F.col("inner"), F.col("ni")).otherwise(F.col("no"))).cast("int"))
     pair = lambda left, right, side: F.struct(left.cast("int").alias("left"), right.cast("int").alias("right"), F.lit(side).alias("side"))
     upto = lambda a, z: F.when(z >= a, F.sequence(a.cast("int"), z.cast("int"))).otherwise(F.array().cast("array<int>"))
     zero, one = F.lit(0), F.lit(1)
@@ -180,3 +180,16 @@ def dedup(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", leas
     out = rows.withColumn("usable", F.expr(_VALID)).join(groups, F.col("usable") & (F.col("embedding") == F.col("vector")), "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("key") == component).alias("kept"))
+
+
+def oracle(least: float = 0.95) -> str:
+    """DuckDB SQL for the rows of dedup() over embeddings: all pairs, and components by walking links."""
+    bad = "x IS NULL OR isnan(x) OR isinf(x)"
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: {bad})) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, a.e AS x, b.e AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+l AS (SELECT a, b FROM pairs WHERE list_cosine_similarity(x, y) >= {least}),
+r(node, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.node = l.a),
+c AS (SELECT node, min(c) AS c FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.c AS component_id, vec_id = c.c AS kept FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN n ON n.a = vec_id
+"""

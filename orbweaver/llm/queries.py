@@ -35,6 +35,7 @@ def op4_site_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(documents, n_lines="n_lines", n_dropped="n_dropped").drop("source")
 
 
+ORACLES["op3_pivot_range_join"] = embed_dedup.oracle()
 ORACLES["op4_site_line_frequency"] = line_dedup.oracle()
 
 

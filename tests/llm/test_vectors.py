@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,14 @@ def test_links(spark, cell, block):
     assert len(got) == len(rows) and set(got) == plain_links(rows, 0.95)
 
 
+def test_sql_says_the_same(tmp_path, spark):
+    rows = clustered(200, [0, 0.05, 0.4]) + ODD
+    frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/e")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    assert set(con.sql(embed_dedup.oracle()).fetchall()) == plain_links(rows, 0.95)
+
+
 def test_cells_prune_and_lose_nothing(spark):
     rows = clustered(600, [0.01], size=3, centres=60)
     rows_, vectors = embed_dedup.distinct(frame(spark, rows))
