@@ -96,17 +96,21 @@ class Grammar:
         return Grammar(r for r in self.rules if r.lhs in need)
 
     def doubled(self) -> Grammar:
-        """The same language with P ::= P P for P ::= P x (or x P), wherever P has just that rule and P ::= x.
+        """The same language with P ::= P P for P ::= P x (or x P), wherever P has just that rule and P ::= x or P ::= .
 
-        Both derive one x or more. The closure of the new form takes a number of passes that grows with the logarithm of
-        a path's length, not with the length.
+        With P ::= x both derive one x or more; with P ::= any number of x, for which P ::= x joins the rules. The
+        closure of the new form takes a number of passes that grows with the logarithm of a path's length, not with the
+        length.
         """
         out = []
         for r in self.rules:
             own = [q for q in self.rules if q.lhs == r.lhs]
-            base = [q.rhs1 for q in own if q.rhs2 is None and q.rhs1 is not None]
-            linear = r.rhs2 is not None and len(own) == 2 and len(base) == 1 and base[0] != r.lhs and (r.rhs1, r.rhs2) in ((r.lhs, base[0]), (base[0], r.lhs))
-            out.append(Rule(r.lhs, r.lhs, r.lhs) if linear else r)
+            step = next((q for q in own if q.rhs2 is not None and (q.rhs1 == q.lhs) != (q.rhs2 == q.lhs)), None)
+            one = Rule(r.lhs, step.rhs2 if step.rhs1 == r.lhs else step.rhs1) if step else None
+            if r == step and len(own) == 2 and (one in own or Rule(r.lhs) in own):
+                out += [one, Rule(r.lhs, r.lhs, r.lhs)]
+            else:
+                out.append(r)
         return Grammar(out)
 
 

@@ -39,7 +39,9 @@ def test_sliced_keeps_what_can_matter():
 def test_doubled_only_where_the_language_is_the_same():
     assert Rule("P", "P", "P") in Grammar.of("P ::= n", "P ::= P n").doubled().rules
     assert Rule("P", "P", "P") in Grammar.of("P ::= n", "P ::= n P").doubled().rules
-    for other in (("P ::= n", "P ::= P m"), ("P ::= n", "P ::= P n", "P ::= m"), ("P ::=", "P ::= P n")):
+    star = {Rule("P"), Rule("P", "n"), Rule("P", "P", "P")}
+    assert set(Grammar.of("P ::=", "P ::= P n").doubled().rules) == set(Grammar.of("P ::=", "P ::= n P").doubled().rules) == star
+    for other in (("P ::= n", "P ::= P m"), ("P ::= n", "P ::= P n", "P ::= m"), ("P ::=", "P ::= P n", "P ::= m"), ("P ::= n", "P ::= P P"), ("P ::= P n",)):
         assert Grammar.of(*other).doubled().rules == Grammar.of(*other).rules
 
 
