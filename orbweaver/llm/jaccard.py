@@ -1,0 +1,130 @@
+"""Near copies by the exact similarity of shingle sets, on candidates from banded MinHash.
+
+The similarity of two texts is that of their sets of word shingles: those that both have, divided by those that either
+has. A text's signature has BANDS * ROWS minima of its shingles' XXH64 values under as many maps; a posting has all texts
+with one band of ROWS minima. A pair of similarity s meets in a posting with probability 1 - (1 - s^ROWS)^BANDS: 0.9998
+at 0.8 for 16 bands of 4. Every pair that meets is linked only if its sets, taken anew from the texts, reach the minimum,
+so that no pair below it is ever linked.
+
+Texts of equal sets are made one first. Then every member of a posting is compared with the smallest key of it, which
+joins most of a large group; what is left are the members outside a posting's largest component, and these are compared
+with all members of other components. So of any two members of a posting that are not joined already, the pair is
+compared, while a large group takes a few comparisons of each.
+
+Words are what stands between ASCII white space, A-Z in lower case; a text of fewer words than a shingle has is one
+shingle. Null, empty and blank texts have the empty set and are copies of each other. Rows with equal keys go together.
+Other columns are kept, whatever their names; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .graph import components
+from .runtime import drop_written, map_batches, written
+
+#: Bands of a signature, and minima of a band.
+BANDS, ROWS = 16, 4
+#: Shingles whose minima are taken at a time.
+_PIECE = 1 << 12
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The different XXH64 values (seed 42) of the text's shingles, in order."""
+    parts = (text or "").encode().lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(parts[k : k + words]), 42) for k in range(max(1, len(parts) - words + 1))], np.uint64))
+
+
+@lru_cache(4)
+def _maps(count: int) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(0)
+    return draw.integers(0, 1 << 64, count, np.uint64) | np.uint64(1), draw.integers(0, 1 << 64, count, np.uint64)
+
+
+def bands(found: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A number for each band of the minima of a set that is not empty."""
+    by, plus = _maps(count * rows)
+    least = np.full(count * rows, np.iinfo(np.uint64).max)
+    for k in range(0, len(found), _PIECE):
+        mixed = (found[k : k + _PIECE, None] ^ plus) * by
+        least = np.minimum(least, (mixed ^ mixed >> np.uint64(29)).min(0))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(count, rows))], np.uint64).view(np.int64)
+
+
+def _indexed(df: DataFrame, words: int, count: int, rows: int) -> DataFrame:
+    """(key, digest of the set, bands) of every row of (key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            posts = [bands(x, count, rows).tolist() if len(x) else [] for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets], pa.string()), pa.array(posts, pa.list_(pa.int64()))], ["key", "digest", "bands"])
+
+    return map_batches(df, run, "key long, digest string, bands array<long>")
+
+
+def _sets(df: DataFrame, words: int) -> DataFrame:
+    """(rep, shingles) of every row of (rep, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["rep", "shingles"])
+
+    return map_batches(df, run, "rep long, shingles array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have that similarity."""
+    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b")
+
+
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, count: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(key, component_id) of every row with a key: the smallest key reachable over pairs of that similarity."""
+    docs = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).where("key is not null")
+    found = written(_indexed(docs, words, count, rows), "minhash")
+    same = written(found.groupBy("digest", "bands").agg(F.min("key").alias("rep")), "sets")
+    index = same.select(F.explode("bands").alias("post"), "rep")
+    tops = index.groupBy("post").agg(F.min("rep").alias("top"), F.max("rep").alias("last")).where("top < last").select("post", "top")
+    index = written(index.join(tops, "post"), "postings")
+
+    names = written(index.select("rep").distinct(), "members")
+    few = docs.join(names, docs["key"] == names["rep"], "left_semi").select(F.col("key").alias("rep"), "text")
+    sets = written(_sets(few, words).distinct(), "shingles")
+
+    first = written(index.where("rep <> top").select(F.col("top").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    links = written(_alike(first, sets, least), "links")
+    joined = components(links).withColumnRenamed("node", "rep")
+    member = written(index.join(joined, "rep", "left").select("post", "rep", F.coalesce("component", "rep").alias("c")), "joined")
+    sizes = member.groupBy("post", "c").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("post").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("post", "largest")
+    mixed = written(member.join(largest, "post"), "mixed")
+    outside = mixed.where("c <> largest").select("post", F.col("rep").alias("x"), F.col("c").alias("of"))
+    met = outside.join(mixed, "post").where("c <> of").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+    second = written(met.join(first, ["a", "b"], "left_anti"), "pairs")
+    links = written(links.union(_alike(second, sets, least)).distinct(), "links")
+
+    joined = components(links)
+    own = found.join(same, ["digest", "bands"]).select("key", "rep")
+    out = own.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    for table in (first, second, member, mixed, index, sets, names):
+        drop_written(table)
+    return out
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of df that have the smallest key of their group; rows with a null key all stay, rows with equal keys go together."""
+    gone = groups(df, key, text, words, least).where("key <> component_id").select(F.col("key").alias("__gone")).distinct()
+    return df.join(gone, df[key] == gone["__gone"], "left_anti")

@@ -8,10 +8,10 @@ ever formed. Links are checked bit by bit, and each posting passes on a spanning
 distinct first. For d = 2 a posting's members differ in two bytes only, so it has at most 65536 members whatever the
 corpus, and in a large one every member looks up the values within the distance: work grows with rows, not with pairs.
 
-Near copies of a shingle similarity of 0.8 differ in about 15 % of the bits, too many for eight bytes to promise much.
-components_of() and keep_one() therefore also take several fingerprints (XXH64 with seeds 42, 43, ...): a pair is
-retained if any of them has the minimum of shared positional bytes, and verified by the bits of all of them. In a large
-posting members are compared with all others only until its largest component holds all others, so that a large group of
+Near copies of a shingle similarity of 0.8 differ in about 15 % of the bits, too many for eight bytes to promise much:
+keep_one() is that of `jaccard`, by exact similarity. near_groups() also takes several fingerprints (XXH64 with seeds 42,
+43, ...): a pair is retained if any of them has the minimum of shared positional bytes, and verified by the bits of all of
+them. In a large posting members are compared with all others only until its largest component holds all others, so that a large group of
 near copies takes few comparisons of each; no pairs are emitted.
 
 Words are what stands between ASCII white space, A-Z in lower case; a text of fewer words than a shingle has is one
@@ -32,8 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, forest
+from .jaccard import keep_one
 from .runtime import drop_written, map_batches, written
 
+__all__ = ["components_of", "fingerprint", "fingerprints", "keep_one", "near_groups"]
+
 #: Shingles hashed before their bits are tallied.
 _PIECE = 1 << 16
 
@@ -182,13 +185,3 @@ def components_of(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     """Per row: key, fingerprint in 16 hex digits, component_id."""
     out = near_groups(written(fingerprints(df, key, text, words), "simhash"), distance, 8 - distance)
     return out.select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 44, shared: int = 3, seeds: tuple[int, ...] = (42, 43, 44, 45)) -> DataFrame:
-    """The rows of df that have the smallest key of their group; rows with a null key all stay, rows with equal keys go together.
-
-    The defaults take five-word shingles and 44 of 256 bits: texts of a shingle similarity of 0.8 differ in 39 on average.
-    """
-    groups = near_groups(written(fingerprints(df, key, text, words, seeds), "simhash"), distance, shared)
-    gone = groups.where("key <> component_id").select(F.col("key").alias("__gone")).distinct()
-    return df.join(gone, df[key] == gone["__gone"], "left_anti")

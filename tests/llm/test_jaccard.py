@@ -1,0 +1,65 @@
+import numpy as np
+
+from orbweaver.llm import jaccard, simhash
+
+SCHEMA = "doc_id long, text string, rep string"
+
+
+def plain(text):
+    parts = (text or "").lower().split()
+    return {" ".join(parts[k : k + 5]) for k in range(max(1, len(parts) - 4))} if parts else set()
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def changed(draw, words, least, most):
+    """A copy whose similarity lies in that range."""
+    while True:
+        new = list(words)
+        for k in range(400):
+            new[draw.integers(0, len(new))] = f"new{draw.integers(0, 1 << 30)}"
+            s = alike(plain(" ".join(words)), plain(" ".join(new)))
+            if s < most:
+                break
+        if s >= least:
+            return new
+
+
+def test_pairs_on_either_side_of_the_minimum(spark):
+    """Every pair a little above 0.8 is found, and no pair below it is taken for one."""
+    draw, rows = np.random.default_rng(0), []
+    for k in range(120):
+        words = [f"w{k}x{j}" for j in range(draw.integers(60, 500))]
+        rows += [(2 * k, " ".join(words), "r"), (2 * k + 1, " ".join(changed(draw, words, *((0.8, 0.83) if k % 2 else (0.7, 0.79)))), "r")]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {k for k, t, _ in rows if k % 2 == 0 or alike(plain(t), plain(rows[k - 1][1])) < 0.8}
+    assert kept == want
+
+
+def test_groups_against_brute_force(spark):
+    draw, rows = np.random.default_rng(1), []
+    for k in range(12):
+        words = [f"w{k}x{j}" for j in range(100)]
+        for _ in range(25):  # chains: each a copy of one before
+            words = changed(draw, words, 0.7, draw.choice([0.78, 0.85, 0.95]))
+            rows.append((len(rows), " ".join(words), "r"))
+    rows += [(900, None, "r"), (901, " ", "r"), (902, "one two", "r"), (903, "ONE  two", "r"), (904, rows[7][1], "r"), (None, "one two", "r")]
+    sets = {k: plain(t) for k, t, _ in rows if k is not None}
+    low = {k: k for k in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b]) >= 0.8]
+    for _ in range(len(sets)):
+        for a, b in near:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {r["key"]: r["component_id"] for r in jaccard.groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == low and len(set(low.values())) > 20
+
+
+def test_bands_find_what_they_say():
+    draw, met = np.random.default_rng(2), 0
+    for _ in range(500):
+        x = draw.integers(0, 1 << 63, 180, dtype=np.uint64)
+        a, b = np.sort(x[:160]), np.sort(x[20:])  # 140 of 180 in common: 0.78
+        met += bool((jaccard.bands(a) == jaccard.bands(b)).any())
+    assert met >= 495
