@@ -3,8 +3,9 @@
 Each stage takes the columns of documents (doc_id, text, lang, source, n_chars) and works on all that its predecessor
 kept; all but the last return these columns.
 
-- language: documents in which no language is found go; lang is the language found.
-- lines: lines on more than a twentieth of a source's documents are taken out of its texts; every document stays.
+- language: documents in which no language is found, or that it does not explain, go; lang is the language found.
+- lines: lines on more than a twentieth of a source's documents are taken out of its texts; every document stays. Copies
+  and near copies of a document count once or not at all, so that they do not take out their content.
 - near_copies: of each group of texts that share four fifths of their five-word shingles, the smallest doc_id stays.
 - mix: a row for each time that the mix takes words of a document, with those words.
 - encode: the token ids of every row, their number, and as its text what the ids decode to.
@@ -34,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _documents(line_dedup.drop_boilerplate(docs))
+    return _documents(line_dedup.drop_boilerplate(docs, copies=True))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

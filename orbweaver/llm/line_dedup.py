@@ -10,6 +10,12 @@ Only hashes of lines are shuffled (two 64-bit hashes), summed on the map side fi
 of all pages nor a very common line gathers in one task. A host has at most (lines of its average page / ratio)
 boilerplate lines; their lists are broadcast if they are few in all (BROADCAST_LINES), and else joined by host and salt.
 
+With `copies`, copies of a page do not vote its content away: a host has as many pages as different texts, and of the
+lines that are frequent among these each is counted again, once for each different rest that pages have without their
+frequent lines. A page whose rest has less than the share REST of its characters does not count: it is a copy or a near
+copy of others, or nearly all frame; two pages of which eight ninths are the same are near copies for the pipeline. Its
+boilerplate lines are dropped like those of other pages.
+
 A null text counts as a page without lines and stays null; an empty one stays empty. Pages with a null host are one host.
 Repeated rows are pages of their own. An empty table gives an empty result. Other columns are kept, whatever their names.
 """
@@ -23,6 +29,8 @@ from .runtime import written
 
 #: Share of a host's pages above which a line is boilerplate, and the least pages for a host to be judged.
 RATIO, PAGES = 0.05, 20
+#: Of a page's characters the least share outside frequent lines with which it counts, where copies are told apart.
+REST = 0.25
 #: Boilerplate lines in all up to which the lists are broadcast.
 BROADCAST_LINES = 100_000
 #: Over how many tasks the pages of one host are dealt where the lists are too many for that.
@@ -38,30 +46,48 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES) -> DataFrame:
+def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES, copies: bool = False, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """(host, line: the line's two hashes) of every line to drop."""
     page = df.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), _hash))
-    counts = page.select("host", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    totals = written(page.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= pages), "hosts")
-    # fewer than this no host's line can have and be dropped
-    often = counts.where(F.col("n") > ratio * pages).withColumnRenamed("host", "of")
-    return often.join(totals, F.col("of").eqNullSafe(F.col("host")) & (F.col("n") > F.lit(ratio) * F.col("total"))).select("host", "line")
+    number = F.count_distinct("page") if copies else F.count("*")
+    own = [F.xxhash64("text").alias("page")] if copies else []
+    counts = page.select("host", *own, F.explode(lines).alias("line")).groupBy("host", "line").agg(number.alias("n"))
+    totals = written(page.select("host", *own).groupBy("host").agg(number.alias("total")).where(F.col("total") >= pages), "hosts")
+
+    def frequent(counts: DataFrame) -> DataFrame:
+        # fewer than this no host's line can have and be dropped
+        often = counts.where(F.col("n") > ratio * pages).withColumnRenamed("host", "of")
+        return often.join(totals, F.col("of").eqNullSafe(F.col("host")) & (F.col("n") > F.lit(ratio) * F.col("total"))).select("host", "line")
+
+    found = frequent(counts)
+    if not copies:
+        return found
+    listed = _listed(page, written(found, "frequent"), "host", "text", broadcast_lines).where("__bad is not null and text is not null")
+    split = listed.select("host", "text", "__bad", F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "").alias("all"))
+    split = split.withColumn("rest", F.array_join(F.filter("all", lambda x: ~F.array_contains(F.col("__bad"), _hash(x))), "\n"))
+    split = split.where(F.length("rest") >= REST * F.length(F.array_join("all", "\n")))
+    held = F.array_intersect(F.array_distinct(F.transform("all", _hash)), F.col("__bad"))
+    votes = split.select("host", F.xxhash64("rest").alias("rest"), F.explode(held).alias("line"))
+    return frequent(votes.groupBy("host", "line").agg(F.count_distinct("rest").alias("n")))
+
+
+def _listed(df: DataFrame, found: DataFrame, host: str, text: str, broadcast_lines: int) -> DataFrame:
+    """df with the lines found for its host as __bad, null where there are none."""
+    lists = found.groupBy("host").agg(F.collect_list("line").alias("__bad")).withColumnRenamed("host", "__of")
+    if found.limit(broadcast_lines + 1).count() <= broadcast_lines:
+        return df.join(F.broadcast(lists), df[host].eqNullSafe(F.col("__of")), "left")
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(SALT)))
+    dealt = lists.select("__of", "__bad", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__at"))
+    return salted.join(dealt, salted[host].eqNullSafe(F.col("__of")) & (F.col("__salt") == F.col("__at")), "left")
 
 
 def drop_boilerplate(
-    df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES, n_lines: str | None = None, n_dropped: str | None = None, broadcast_lines: int = BROADCAST_LINES
+    df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES, n_lines: str | None = None, n_dropped: str | None = None, broadcast_lines: int = BROADCAST_LINES, copies: bool = False
 ) -> DataFrame:
     """df without boilerplate lines, and with the numbers of lines before and of those dropped, if names are given."""
-    found = written(boilerplate(df, host, text, ratio, pages), "boilerplate")
-    lists = found.groupBy("host").agg(F.collect_list("line").alias("__bad")).withColumnRenamed("host", "__of")
-    by_host = df[host].eqNullSafe(F.col("__of"))
-    if found.limit(broadcast_lines + 1).count() <= broadcast_lines:
-        joined = df.join(F.broadcast(lists), by_host, "left")
-    else:
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(SALT)))
-        dealt = lists.select("__of", "__bad", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__at"))
-        joined = salted.join(dealt, salted[host].eqNullSafe(F.col("__of")) & (F.col("__salt") == F.col("__at")), "left")
+    found = written(boilerplate(df, host, text, ratio, pages, copies, broadcast_lines), "boilerplate")
+    joined = _listed(df, found, host, text, broadcast_lines)
     lines = F.split(F.col(f"`{text}`"), "\n", -1)
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__bad"), _hash(x)))
     names = [c for c in df.columns if c not in (n_lines, n_dropped)]

@@ -42,3 +42,16 @@ def test_empty_and_host_of(spark):
     urls = ["https://User:pw@WWW.Example.com:80/a?b#c", "http://a.b", "no url", None]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(line_dedup.host_of(F.col("u")).alias("h")).collect()
     assert [r["h"] for r in got] == ["www.example.com", "a.b", "", None]
+
+
+@pytest.mark.parametrize("broadcast_lines", [100_000, 0])
+def test_copies_do_not_vote_their_content_away(spark, broadcast_lines):
+    own = lambda k: [f"line {j} of page {k} has words of its own" for j in range(6)]
+    rows = [(k, "\n".join(["the footer of all pages", *own(k)]), "h") for k in range(60)]
+    rows += [(100 + k, "\n".join(own("copied")), "h") for k in range(40)]
+    near = own("near")
+    rows += [(200 + k, "\n".join([*near[: k % 6], f"changed line {k}", *near[k % 6 + 1 :]]), "h") for k in range(40)]
+    rows += [(300 + k, "\n".join(own(f"small {k // 2}")), "small") for k in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(df, copies=True, broadcast_lines=broadcast_lines).collect()}
+    assert got == {k: t.removeprefix("the footer of all pages\n") for k, t, _ in rows}

@@ -68,3 +68,14 @@ def test_empty(spark):
 
 def test_one_query_for_each_operator():
     assert sorted(int(k.split("_")[0][2:]) for k in QUERIES) == list(range(1, 11)) and ORACLES.keys() <= QUERIES.keys()
+
+
+def test_large_group_of_copies_keeps_one(spark):
+    """Copies that are more than a twentieth of a source do not empty each other."""
+    draw = np.random.default_rng(1)
+    line = lambda: " ".join(draw.choice([f"ka{c}ta" for c in "bcdfghjklmnp"], 12))
+    same = "\n".join(line() for _ in range(6))
+    rows = [(k, "\n".join(line() for _ in range(6)), "aa", "src0") for k in range(60)] + [(100 + k, same, "aa", "src0") for k in range(30)]
+    docs, stages = spark.createDataFrame([(*r, len(r[1])) for r in rows], SCHEMA), dict(corpus_pipeline.STAGES)
+    single = stages["near_copies"](spark, stages["lines"](spark, docs, ""), "")
+    assert {r["doc_id"]: r["text"] for r in single.collect()} == {**{k: t for k, t, _, _ in rows[:60]}, 100: same}
