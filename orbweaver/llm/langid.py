@@ -11,6 +11,12 @@ The model is fitted on a bounded sample: `per_class` texts of each language (tho
 `landmarks` are landmarks, and the `letters` most frequent letters. Every row is scored, whole texts only. lang, source
 and key are never inputs of a prediction.
 
+keep_known() also drops texts that the language found does not explain. A 3-gram is typical of a language if a share
+TYPICAL of its sample has it, letters outside the alphabet never. The share of a text's 3-grams that are typical of the
+language found, and CERTAIN / sqrt(their number) for chance in short texts, must reach a floor of the language: CAUTION
+times the share that 99 % of its own sample reach, each text counted by the others. Unlike the scores of regressions
+against the rest, whose sum is fixed, this does not depend on how many languages there are.
+
 A text that is null or has no letter is `und` with score 0, as is everything if no row can be learned from. Rows with a
 null key or null lang are scored but not learned from. Equal texts get equal results; ties go to the first language in
 code point order. Other columns are kept or not read, whatever their names.
@@ -33,6 +39,8 @@ from .runtime import map_batches
 PER_CLASS, LANDMARKS, LETTERS = 400, 64, 62
 #: Weight of the ridge.
 RIDGE = 1e-3
+#: Of a language's texts those that have a typical 3-gram, at least; the part of its texts' usual share that must be reached; three standard deviations of one 3-gram.
+TYPICAL, CAUTION, CERTAIN = 0.05, 0.8, 1.5
 #: Texts in one presence matrix.
 ROWS = 64
 
@@ -79,6 +87,38 @@ class Alphabet:
         return True
 
 
+    def three(self, held: np.ndarray, text: str) -> tuple[np.ndarray, int]:
+        """The 3-grams marked in `held`, numbered from 0, and how many the text has with letters outside the alphabet told apart."""
+        n = self.size
+        found = np.flatnonzero(held[n + n * n :])
+        if not held[n - 1]:
+            return found, len(found)
+        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        s = np.concatenate([[0], self.symbols[points], [0]])
+        points = np.concatenate([[0], points, [0]]) * (s != 0)
+        stay = np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])
+        s, points = s[stay], points[stay]
+        codes = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+        return found, len(np.unique(codes))
+
+
+def _typical(alphabet: Alphabet, rows: list[tuple[str, np.ndarray, int]], languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which 3-grams are typical of each language, and the floors of the languages; rows have a text's 3-grams and their number."""
+    n = alphabet.size
+    at = np.arange(n**3)
+    strange = (at // n**2 == n - 1) | (at // n % n == n - 1) | (at % n == n - 1)
+    typical, floors = np.zeros((len(languages), n**3), bool), np.zeros(len(languages))
+    for k, lang in enumerate(languages):
+        own = [(three, size) for of, three, size in rows if of == lang and size]
+        counts = np.bincount(np.concatenate([*(x for x, _ in own), np.zeros(0, np.int64)]), minlength=n**3)
+        counts[strange] = 0
+        typical[k] = (counts >= TYPICAL * len(own)) & (counts > 0)
+        if len(own) > 1:
+            shares = [np.count_nonzero((counts[x] - 1 >= TYPICAL * (len(own) - 1)) & (counts[x] > 1)) / size for x, size in own]
+            floors[k] = CAUTION * np.quantile(shares, 0.01)
+    return typical, floors
+
+
 @dataclass
 class Model:
     alphabet: Alphabet
@@ -86,9 +126,11 @@ class Model:
     weights: np.ndarray  # n-gram x language
     bias: np.ndarray
     languages: list[str]
+    typical: np.ndarray  # language x 3-gram
+    floors: np.ndarray
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Rows of one-versus-rest outputs; a row of NaN for a text without letters."""
+    def scores(self, texts: list[str | None], familiar: np.ndarray | None = None) -> np.ndarray:
+        """Rows of one-versus-rest outputs; a row of NaN for a text without letters. familiar: filled with how far each text's share is above each language's floor."""
         out = np.full((len(texts), len(self.languages)), np.nan)
         held = np.zeros(self.alphabet.grams(), np.uint8)
         for at in range(0, len(texts), ROWS):
@@ -99,15 +141,22 @@ class Model:
                 if self.alphabet.presence(t, held):
                     norms[k] = np.sqrt(np.count_nonzero(held))
                     matrix[k] = held[self.columns]
+                    if familiar is not None:
+                        three, size = self.alphabet.three(held, t)
+                        familiar[at + k] = (self.typical[:, three].sum(1) + CERTAIN * np.sqrt(size)) / size - self.floors
             out[at : at + len(part)] = (matrix @ self.weights) / norms[:, None] + self.bias
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], reject: bool = False) -> tuple[list[str], list[float]]:
+        """Languages and scores; with reject, `und` for texts that the language found does not explain."""
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts)
-        scores = self.scores(texts)
+        familiar = np.zeros((len(texts), len(self.languages))) if reject else None
+        scores = self.scores(texts, familiar)
         known = ~np.isnan(scores[:, 0])
         best = np.where(known, np.nan_to_num(scores).argmax(1), 0)
+        if familiar is not None:
+            known &= familiar[np.arange(len(texts)), best] >= 0
         chance = np.where(known, np.clip((np.nan_to_num(scores.max(1)) + 1) / 2, 0, 1), 0.0)
         return [self.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], chance.tolist()
 
@@ -135,10 +184,14 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, letters: int =
         held[:] = 0
         return np.flatnonzero(held) if alphabet.presence(t, held) else None
 
-    known = [(lang, at) for lang, t in rows if (at := marked(t)) is not None]
+    known, threes = [], []
+    for lang, t in rows:
+        if (at := marked(t)) is not None:
+            known.append((lang, at))
+            threes.append((lang, *alphabet.three(held, t)))
     languages = sorted({lang for lang, _ in known})
     if not languages:
-        return Model(alphabet, np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), [])
+        return Model(alphabet, np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), [], np.zeros((0, 0), bool), np.zeros(0))
     seen = dict.fromkeys(languages, 0)
     chosen = []
     for lang, at in known:
@@ -165,17 +218,17 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, letters: int =
     middle, level = features.mean(0), wanted.mean(0)
     centred = features - middle
     beta = np.linalg.solve(centred.T @ centred + ridge * len(known) * np.eye(root.shape[1]), centred.T @ (wanted - level))
-    return Model(alphabet, columns, (marks.T.astype(np.float64) @ (root @ beta)).astype(np.float32), level - middle @ beta, languages)
+    return Model(alphabet, columns, (marks.T.astype(np.float64) @ (root @ beta)).astype(np.float32), level - middle @ beta, languages, *_typical(alphabet, threes, languages))
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """df with the predicted language and its score."""
+def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", reject: bool = False) -> DataFrame:
+    """df with the predicted language and its score; with reject, `und` for texts that the language found does not explain."""
     kept = [f for f in df.schema if f.name not in (lang_pred, score)]
     keep, at = [df.columns.index(f.name) for f in kept], df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = model.predict(batch.column(at).to_pylist())
+            langs, scores = model.predict(batch.column(at).to_pylist(), reject)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*(f.name for f in kept), lang_pred, score])
 
     return map_batches(df, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{lang_pred}` string", f"`{score}` double"]))
@@ -188,7 +241,7 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def keep_known(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.25) -> DataFrame:
-    """The rows of df whose language is found with at least that score, with the language found as their lang."""
+    """The rows of df whose language is found with at least that score and explains the text, with the language found as their lang."""
     model = fit(sample(df, key, text, lang))
-    found = predict(df, model, text, "__lang", "__score")
+    found = predict(df, model, text, "__lang", "__score", reject=True)
     return found.where((F.col("__lang") != "und") & (F.col("__score") >= least)).withColumn(lang, F.col("__lang")).select(*df.columns)

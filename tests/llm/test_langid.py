@@ -80,3 +80,13 @@ def test_sample_is_bounded_and_learns_from_no_held_out_row(spark):
     assert len(got) == 60
     out = {t for k, t, _ in rows if zlib.crc32(str(k).encode()) % 4 == 2} - {t for k, t, _ in rows if zlib.crc32(str(k).encode()) % 4 != 2}
     assert not out & {t for _, t in got}
+
+
+def test_texts_in_unlearned_languages_go(spark):
+    """However few languages there are, and of whichever script."""
+    unlearned = ["это простой текст на языке который модель не видела", "wumpf gnidd wumpf hevvy gnidd xummy hevvy dwigg", "zq xvj qqw jxk vvq wzx qjj", "这是一个模型从未见过的中文文本应该被拒绝因为没有学过"]
+    for langs in (["aa", "bb"], ["aa", "bb", "cc"]):
+        rows = [r for r in made(300) if r[2] in langs] + [(1000 + k, t, None) for k, t in enumerate(unlearned)]
+        kept = langid.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+        assert {r["doc_id"] for r in kept} == {k for k, _, lang in rows if lang}
+        assert all(r["lang"] == rows_lang for r in kept for k, _, rows_lang in rows if k == r["doc_id"])
