@@ -7,9 +7,9 @@ at 0.8 for 16 bands of 4. Every pair that meets is linked only if its sets, take
 so that no pair below it is ever linked.
 
 Texts of equal sets are made one first. Then every member of a posting is compared with the smallest key of it, which
-joins most of a large group; what is left are the members outside a posting's largest component, and these are compared
-with all members of other components. So of any two members of a posting that are not joined already, the pair is
-compared, while a large group takes a few comparisons of each.
+joins most of a large group. A posting that still has several components goes to one task with its members' sets, which
+compares members outside the largest component, one after another, with all others until each is in it or was compared.
+So of any two members of a posting that are not joined, the pair was compared; no pairs are emitted but links.
 
 Words are what stands between ASCII white space, A-Z in lower case; a text of fewer words than a shingle has is one
 shingle. Null, empty and blank texts have the empty set and are copies of each other. Rows with equal keys go together.
@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +92,51 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b")
 
 
+def _joined(pieces: list[pa.RecordBatch], least: float) -> Iterator[tuple[int, int]]:
+    """Links among the members (post, rep, c, shingles) of a posting that join their components."""
+    rep = np.concatenate([np.asarray(x.column(1)) for x in pieces])
+    label = np.unique(np.concatenate([np.asarray(x.column(2)) for x in pieces]), return_inverse=True)[1]
+    sizes = np.concatenate([np.asarray(pc.list_value_length(x.column(3))) for x in pieces]).astype(np.int64)
+    flat = np.unique(np.concatenate([np.asarray(x.column(3).flatten()) for x in pieces]), return_inverse=True)[1]
+    starts, open_ = np.cumsum(sizes) - sizes, np.ones(len(rep), bool)
+    has = np.zeros(len(flat), np.int64)
+    while len(outside := np.flatnonzero(open_ & (label != np.bincount(label).argmax()))):
+        k = int(outside[0])
+        open_[k] = False
+        own = flat[starts[k] : starts[k] + sizes[k]]
+        has[own] = 1
+        common = np.add.reduceat(has[flat], starts)
+        has[own] = 0
+        hit = np.flatnonzero((common / (sizes + sizes[k] - common) >= least) & (label != label[k]))
+        for other in hit[np.unique(label[hit], return_index=True)[1]].tolist():
+            yield min(int(rep[k]), int(rep[other])), max(int(rep[k]), int(rep[other]))
+            label[label == label[other]] = label[k]
+
+
+def _within(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """From rows (post, rep, c, shingles) sorted by posting: links that join the components of each posting."""
+    post, held, found = None, [], []
+
+    def links() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        found.clear()
+        return out
+
+    for batch in batches:
+        posts = np.asarray(batch.column(0))
+        cuts = [0, *(np.flatnonzero(posts[1:] != posts[:-1]) + 1).tolist(), len(posts)] if len(posts) else []
+        for a, z in zip(cuts, cuts[1:]):
+            if posts[a] != post:
+                if held:
+                    found += _joined(held, least)
+                post, held = posts[a], []
+            held.append(batch.slice(a, z - a))
+        yield links()
+    if held:
+        found += _joined(held, least)
+    yield links()
+
+
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, count: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, component_id) of every row with a key: the smallest key reachable over pairs of that similarity."""
     docs = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).where("key is not null")
@@ -108,18 +154,16 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     links = written(_alike(first, sets, least), "links")
     joined = components(links).withColumnRenamed("node", "rep")
     member = written(index.join(joined, "rep", "left").select("post", "rep", F.coalesce("component", "rep").alias("c")), "joined")
-    sizes = member.groupBy("post", "c").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("post").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("post", "largest")
-    mixed = written(member.join(largest, "post"), "mixed")
-    outside = mixed.where("c <> largest").select("post", F.col("rep").alias("x"), F.col("c").alias("of"))
-    met = outside.join(mixed, "post").where("c <> of").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    second = written(met.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = written(links.union(_alike(second, sets, least)).distinct(), "links")
+    several = member.groupBy("post").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+    mixed = member.join(several.select("post"), "post", "left_semi")
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = mixed.join(sets, "rep").select("post", "rep", "c", "shingles").repartition(parts, "post").sortWithinPartitions("post")
+    links = written(links.union(map_batches(dealt, lambda batches: _within(batches, least), "a long, b long")).distinct(), "links")
 
     joined = components(links)
     own = found.join(same, ["digest", "bands"]).select("key", "rep")
     out = own.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    for table in (first, second, member, mixed, index, sets, names):
+    for table in (first, member, index, sets, names):
         drop_written(table)
     return out
 

@@ -63,3 +63,21 @@ def test_bands_find_what_they_say():
         a, b = np.sort(x[:160]), np.sort(x[20:])  # 140 of 180 in common: 0.78
         met += bool((jaccard.bands(a) == jaccard.bands(b)).any())
     assert met >= 495
+
+
+def test_large_group_of_loose_copies(spark):
+    """Many of its pairs lie below the minimum, and its smallest key is like few of the others."""
+    draw, rows, words = np.random.default_rng(3), [], [f"w{j}" for j in range(150)]
+    for k in range(400):
+        new = list(words)
+        for j in draw.choice(150, int(draw.integers(0, 9)) if k else 12, replace=False):
+            new[j] = f"new{k}x{j}"
+        rows.append((k, " ".join(new), "r"))
+    sets = [plain(t) for _, t, _ in rows]
+    low = list(range(400))
+    near = [(a, b) for a in range(400) for b in range(a + 1, 400) if alike(sets[a], sets[b]) >= 0.8]
+    for _ in range(20):
+        for a, b in near:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {r["key"]: r["component_id"] for r in jaccard.groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == dict(enumerate(low)) and len(near) < 0.8 * 400 * 399 / 2
