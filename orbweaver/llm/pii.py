@@ -33,12 +33,22 @@ ROUNDS = 10
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _MONTH, _DAY, _YEAR = "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12][0-9]|3[01])", "(?:19|20)[0-9]{2}"
 
+#: Countries whose IBANs have that many characters.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_REST = lambda n: rf"(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + rf"(?: ?[A-Z0-9]{{{n % 4}}})" * (n % 4 > 0)
+#: By the country's length, so that a word in capitals after an IBAN is none of it; any length where that finds nothing.
+_IBAN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}{_REST(n)}(?![0-9A-Za-z])" for n, c in _LENGTHS.items())
+
 #: Formats in the order in which they are tried at a place of the text.
 FORMATS = {
     "key": r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
     "secret": r"(?i:(?<![0-9A-Za-z])(?:password|passwd|secret|token|api[_-]?key)[ ]{0,3}[:=][ ]{0,3}[\"']?)(?=[A-Za-z/+_-]*[0-9])[0-9A-Za-z/+_-]{8,}+",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])",
+    "iban": rf"(?<![0-9A-Za-z])(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?:(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![0-9A-Za-z]))",
     "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
     "date": rf"(?<![0-9./-])(?:{_YEAR}-{_MONTH}-{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR}|{_MONTH}/{_DAY}/{_YEAR})(?![./-]?[0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9]|-[0-9])",

@@ -110,3 +110,13 @@ def test_long_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, long), (1, long), (None, "4041894974608795")], "doc_id long, text string")
     rows = pii.pseudonymize(df).collect()
     assert sorted(r["n_replaced"] for r in rows) == [1, 6000, 6000] and all("4041894974608795" not in r["text"] for r in rows)
+
+
+@pytest.mark.parametrize("value", ["ES91 2100 0418 4502 0005 1332", "SE45 5000 0000 0583 9825 7466", "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "ES9121000418450200051332"])
+def test_capitals_after_an_iban(spark, value):
+    assert iban(value)
+    out, n = run(spark, [f"pay {value}{after} now" for after in (" EUR", " BIC", " 2024", "", ", EUR")])
+    for text, after in zip(out, (" EUR", " BIC", " 2024", "", ", EUR"), strict=True):
+        new = text.removeprefix("pay ").removesuffix(f"{after} now")
+        assert len(new) == len(value) and new != value and iban(new)
+    assert n == [1] * 5
