@@ -83,7 +83,8 @@ def _dealt(vectors: DataFrame, size: int, pivots: np.ndarray, distance: float, r
                 go = (far - near[:, None] <= 2 * distance + slack) & (far <= radius + distance + slack) & (np.arange(len(pivots)) < own[:, None])
                 with np.errstate(divide="ignore", invalid="ignore"):
                     plane = (far**2 - near[:, None] ** 2) / (2 * between[own])
-                go &= ~(plane > distance + slack)
+                # between pivots of nearly one direction the plane is a matter of rounding
+                go &= ~((plane > distance + slack) & (between[own] > 1e-3))
                 go[np.arange(len(x)), own] = True
                 rows, cells = np.nonzero(go)
             columns = [pa.array(cells.astype(np.int32)), pa.array(cells == own[rows]), pa.array(far[rows, cells])]
