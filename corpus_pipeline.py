@@ -6,7 +6,8 @@ kept; all but the last return these columns.
 - language: documents in which no language is found, or that it does not explain, go; lang is the language found.
 - lines: lines on more than a twentieth of a source's documents are taken out of its texts; every document stays. Copies
   and near copies of a document count once or not at all, so that they do not take out their content.
-- near_copies: of each group of texts that share four fifths of their five-word shingles, the smallest doc_id stays.
+- near_copies: of each group of texts that share four fifths of their five-word shingles, the smallest doc_id stays; null
+  and blank texts are one group.
 - mix: a row for each time that the mix takes words of a document, with those words.
 - encode: the token ids of every row, their number, and as its text what the ids decode to.
 
@@ -19,7 +20,7 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweaver.llm import bpe, langid, line_dedup, mixing, simhash
+from orbweaver.llm import bpe, langid, line_dedup, mixing, near_texts
 from orbweaver.llm.runtime import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -39,7 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs).select(*COLUMNS)
+    return near_texts.keep_one(docs).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
-from orbweaver.llm import graph, simhash
+from orbweaver.llm import graph, near_texts, simhash
 
 
 def plain(text, words=3, seed=42):
@@ -42,13 +43,13 @@ TEXTS = [None, "", " \t\n", "One", "one", "One two", "a b c", "a  b c d É é",
 
 def test_fingerprint():
     for t in TEXTS:
-        assert simhash.fingerprint(t)[0] % (1 << 64) == plain(t)
-        assert [x % (1 << 64) for x in simhash.fingerprint(t, 5, (42, 43))] == [plain(t, 5, 42), plain(t, 5, 43)]
+        assert simhash.fingerprint(t) % (1 << 64) == plain(t)
+        assert simhash.fingerprint(t, 5) % (1 << 64) == plain(t, 5)
 
 
 def test_groups_of_documents(spark):
     rows = [(10 + k, t, 0) for k, t in enumerate(TEXTS)] + [(5, "a b c", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, fp0 long")
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp long")
     want = near({k: plain(t) for k, t, _ in rows}, 2)
     got = {r["doc_id"]: r for r in simhash.components_of(df).collect()}
     assert all((got[k]["fingerprint"], got[k]["component_id"]) == (f"{plain(t):016x}", want[k]) for k, t, _ in rows)
@@ -67,25 +68,22 @@ def test_large_postings(spark):
             x ^= 1 << int(draw.integers(0, 12 if k % 2 else 64))
         values.append((x + (1 << 63)) % (1 << 64) - (1 << 63))
     want = near({k: x % (1 << 64) for k, x in enumerate(values)}, 2)
-    df = spark.createDataFrame(list(enumerate(values)), "key long, fp0 long")
-    assert {r["key"]: r["component_id"] for r in simhash.near_groups(df).collect()} == want
-
-
-def test_several_fingerprints(spark):
-    draw = np.random.default_rng(1)
-    base, rows = draw.integers(-(2**62), 2**62, (4, 2)), []
-    for k in range(600):
-        fps = [int(x) for x in base[k % 4]]
-        for _ in range(draw.integers(0, 14)):
-            fps[draw.integers(0, 2)] ^= 1 << int(draw.integers(0, 64))
-        rows.append((k, *((x + (1 << 63)) % (1 << 64) - (1 << 63) for x in fps)))
-
-    def link(a, b):
-        words = [(x ^ y) % (1 << 64) for x, y in zip(a[1:], b[1:], strict=True)]
-        return sum(w.bit_count() for w in words) <= 10 and any(sum(w >> 8 * k & 0xFF == 0 for k in range(8)) >= 3 for w in words)
-
-    want = joined(range(600), [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and link(a, b)])
-    got = simhash.near_groups(spark.createDataFrame(rows, "key long, fp0 long, fp1 long"), 10, 3).collect()
+    df = spark.createDataFrame(list(enumerate(values)), "key long, fp long")
+    for crowd in (simhash.CROWD, 100, 1):  # whole, and dealt anew by more positions
+        assert {r["key"]: r["component_id"] for r in simhash.near_groups(df, crowd=crowd).collect()} == want
+
+
+@pytest.mark.parametrize("distance", [0, 1, 3])
+def test_other_distances(spark, distance):
+    draw = np.random.default_rng(distance)
+    base, rows = draw.integers(-(2**62), 2**62, 4), {}
+    for k in range(500):
+        x = int(base[k % 4])
+        for _ in range(draw.integers(0, 9)):
+            x ^= 1 << int(draw.integers(0, 64))
+        rows[k] = (x + (1 << 63)) % (1 << 64) - (1 << 63)
+    want = near({k: x % (1 << 64) for k, x in rows.items()}, distance)
+    got = simhash.near_groups(spark.createDataFrame(sorted(rows.items()), "key long, fp long"), distance).collect()
     assert {r["key"]: r["component_id"] for r in got} == want
 
 
@@ -100,7 +98,7 @@ def test_keep_one(spark):
         rows += [(100 + k, " ".join(parts), "key"), (200 + k, t, "key")]
     rows += [(None, texts[0], "key"), (None, texts[0], "key")]
     df = spark.createDataFrame(rows, "doc_id long, text string, rep string")
-    kept = simhash.keep_one(df)
+    kept = near_texts.keep_one(df)
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([*range(30), None, None], key=str)
 
