@@ -55,7 +55,7 @@ def choices(words: int = WORDS, keys: int = KEYS) -> np.ndarray:
 
 def entries(prints: np.ndarray, words: int = WORDS, keys: int = KEYS) -> np.ndarray:
     """For each fingerprint (a row of bytes) the hash of each choice with the bytes there."""
-    four = prints[:, choices(words, keys)].view(np.uint32)[:, :, 0].astype(np.uint64)
+    four = np.take(prints, choices(words, keys).ravel(), 1).view(np.uint32).astype(np.uint64)
     x = (four | np.arange(keys, dtype=np.uint64) << np.uint64(32)) + np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)

@@ -29,17 +29,17 @@ def changed(draw, words, least, most):
 
 def scattered(draw, words, target):
     """A copy of about that similarity, words replaced here and there."""
-    new = list(words)
+    new, own = list(words), plain(" ".join(words))
     for j in draw.permutation(len(words)).tolist():
-        if alike(plain(" ".join(words)), plain(" ".join(new))) <= target + 0.006:
-            break
-        new[j] = f"new{draw.integers(0, 1 << 30)}"
-    return new
+        old, new[j] = new[j], f"new{draw.integers(0, 1 << 30)}"
+        if alike(own, plain(" ".join(new))) < target:
+            new[j] = old
+            return new
 
 
 def appended(draw, words, target):
     """A copy of about that similarity, with words put after the end."""
-    return [*words, *(f"new{draw.integers(0, 1 << 30)}" for _ in range(int(len(words) / target) - len(words)))]
+    return [*words, *(f"new{draw.integers(0, 1 << 30)}" for _ in range(int((len(words) - 4) / target) - len(words) + 4))]
 
 
 def test_recall_at_the_minimum(spark):
