@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from orbweaver.llm import line_dedup
 
 
-def plain(rows, ratio, pages):
+def plain(rows, ratio, least):
     total, seen = Counter(h for _, _, h in rows), Counter()
     for _, t, h in rows:
         for line in {x for x in (t or "").split("\n") if x.strip(" ")} if t is not None else ():
             seen[h, line] += 1
-    bad = {k for k, n in seen.items() if total[k[0]] >= pages and n > ratio * total[k[0]]}
+    bad = {k for k, n in seen.items() if n >= least and n > ratio * total[k[0]]}
     out = []
     for k, t, h in rows:
         lines = [] if t is None else t.split("\n")
@@ -28,12 +28,12 @@ def made():
 
 
 @pytest.mark.parametrize("broadcast_lines", [100_000, 0])
-@pytest.mark.parametrize(("ratio", "pages"), [(0.05, 20), (0.6, 5)])
-def test_against_plain(spark, ratio, pages, broadcast_lines):
+@pytest.mark.parametrize(("ratio", "least"), [(0.05, 3), (0.6, 1)])
+def test_against_plain(spark, ratio, least, broadcast_lines):
     df = spark.createDataFrame([(*r, "clash") for r in made()], "doc_id long, text string, host string, line string")
-    got = line_dedup.drop_boilerplate(df, "host", "text", ratio, pages, "n_lines", "n_dropped", broadcast_lines)
+    got = line_dedup.drop_boilerplate(df, "host", "text", ratio, least, "n_lines", "n_dropped", broadcast_lines)
     assert got.columns == [*df.columns, "n_lines", "n_dropped"]
-    assert sorted((tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_dropped").collect()), key=str) == plain(made(), ratio, pages)
+    assert sorted((tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_dropped").collect()), key=str) == plain(made(), ratio, least)
 
 
 def test_empty_and_host_of(spark):
@@ -55,3 +55,10 @@ def test_copies_do_not_vote_their_content_away(spark, broadcast_lines):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(df, copies=True, broadcast_lines=broadcast_lines).collect()}
     assert got == {k: t.removeprefix("the footer of all pages\n") for k, t, _ in rows}
+
+
+@pytest.mark.parametrize("n", [2, 3, 19, 20, 61])
+def test_one_rule_at_every_size(spark, n):
+    """A line that all pages of a host share is boilerplate from three pages on."""
+    df = spark.createDataFrame([(k, f"shared\nown {k}", "h") for k in range(n)], "doc_id long, text string, source string")
+    assert {r["text"] for r in line_dedup.drop_boilerplate(df).collect()} == {f"own {k}" if n >= 3 else f"shared\nown {k}" for k in range(n)}
