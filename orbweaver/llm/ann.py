@@ -1,14 +1,19 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Nearness is the inner product. Vectors are scaled by the largest norm and get one more coordinate that makes all norms
-equal, so that the nearest are those of the smallest angle. A tree hashes a vector to a long string of bits, the sides
-of random planes it lies on, and keeps the strings sorted. A query descends in every tree to its longest matching prefix,
-by binary search, and then ascends in all trees together, a bit at a time: the candidates of a level are the vectors that
-share the query's prefix of that length in any tree. It stops at the first level with the wanted share of candidates,
-whose inner products are computed in double precision from the vectors as they are.
+Nearness is the inner product. Rows are indexed in shards of about SHARD vectors whose norms lie within a factor of
+sqrt(2). In a shard, vectors are scaled by its largest norm and get one more coordinate that makes all norms equal, so that
+the nearest are those of the smallest angle. A tree hashes a vector to a long string of bits, the sides of random planes it
+lies on, and keeps the strings sorted. A query descends in every tree to its longest matching prefix, by binary search, and
+then ascends in all trees together, a bit at a time: the candidates of a level are the vectors that share the query's
+prefix of that length in any tree. Their inner products are computed in double precision from the vectors as they are.
 
-Rows are dealt over shards of about SHARD vectors, each with a forest of its own, and queries over blocks; every block of
-queries searches every shard in a task of bounded size, and the best of all shards are merged. Every row is indexed.
+A vector at angle t shares a prefix of n bits with the query in any of TREES trees with probability
+1 - (1 - (1 - t / pi)^n)^TREES. A query ascends until this is 1 - MISS for the angle of its own neighbours: of the rank
+that the last of the k would have in one shard of as many as there are. So how much is searched follows from the data, by
+one rule at every size: near neighbours that stand out are found early, and where nothing stands out most is searched.
+
+The forest of a shard is built once, by the task that has its rows; queries, which stand after them, stream past it in
+batches. So no vector but a query's is sent to more than one task. The best of all shards are merged. Every row is indexed.
 
 A vector that is null, empty or zero, or holds null, NaN or infinity, takes no part, nor does one of another length than
 the query. A query's own id is no candidate; among equal scores the smaller id comes first. Rows with a null id take no
@@ -17,111 +22,134 @@ part. Rows with equal ids are rows of their own. An empty table gives an empty r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .embed_dedup import _VALID, _matrix
-from .runtime import local_table, ship, written
+from .runtime import map_batches, written
 
-#: Trees of a forest, bits of a string, vectors of a shard, queries of a block.
-TREES, BITS, SHARD, QUERIES = 64, 24, 8192, 2048
-#: Candidates of a query in a shard: this share of its vectors, and at least so many.
-SHARE, LEAST = 0.5, 1536
+#: Trees of a forest, bits of a string, vectors of a shard.
+TREES, BITS, SHARD = 256, 20, 16384
+#: The chance with which the last of a query's neighbours may be missed.
+MISS = 0.15
 
 
 class Forest:
-    """Trees over the rows of x, whose norms are `top` at most."""
+    """Trees over the rows of x."""
 
-    def __init__(self, x: np.ndarray, top: float, trees: int = TREES, bits: int = BITS, seed: int = 0):
-        self.trees, self.bits, self.top = trees, bits, top
+    def __init__(self, x: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = 0):
+        self.trees, self.bits, self.size = trees, bits, len(x)
+        self.scale = np.abs(x).max()
+        norms = np.sqrt(((x / self.scale) ** 2).sum(1))
+        self.top = norms.max() * (1 + 1e-12)
         self.planes = np.random.default_rng(seed).standard_normal((trees * bits, x.shape[1] + 1))
-        scaled = x / top
-        rest = np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(1, keepdims=True)))
-        codes = self.strings(np.concatenate([scaled, rest], 1))
-        self.order = np.argsort(codes, 0, kind="stable").T.copy()
+        rest = np.sqrt(np.maximum(0.0, 1.0 - (norms / self.top) ** 2))
+        codes = self.strings(np.concatenate([x / self.scale / self.top, rest[:, None]], 1))
+        self.order = np.argsort(codes, 0, kind="stable").T.astype(np.int32)
         self.codes = np.take_along_axis(codes.T, self.order, 1)
-        self.size = len(x)
 
     def strings(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), self.trees), np.int64)
-        for k in range(0, len(x), 1024):
-            side = (x[k : k + 1024] @ self.planes.T > 0).reshape(-1, self.trees, self.bits)
+        out = np.zeros((len(x), self.trees), np.int32)
+        for k in range(0, len(x), 512):
+            side = (x[k : k + 512] @ self.planes.T > 0).reshape(-1, self.trees, self.bits)
             for b in range(self.bits):
-                out[k : k + 1024] = out[k : k + 1024] << 1 | side[:, :, b]
+                out[k : k + 512] = out[k : k + 512] << 1 | side[:, :, b]
         return out
 
-    def candidates(self, queries: np.ndarray, least: int):
-        """For each query the rows that share its longest prefixes in any tree, `least` of them or more (or all)."""
-        norm = np.sqrt((queries * queries).sum(1, keepdims=True))
-        strings = self.strings(np.concatenate([queries / np.where(norm > 0, norm, 1.0), np.zeros((len(queries), 1))], 1))
-        low, high = (np.zeros((self.bits + 1, len(queries), self.trees), np.int32) for _ in range(2))
+    def nearest(self, x: np.ndarray, data: np.ndarray, rank: int, least: int, miss: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the candidates, `least` at least, and their inner products."""
+        norm = np.sqrt(((x / np.abs(x).max(1, keepdims=True)) ** 2).sum(1)) * np.abs(x).max(1)
+        strings = self.strings(np.concatenate([x / norm[:, None], np.zeros((len(x), 1))], 1))
+        low, high = (np.zeros((self.bits + 1, self.trees, len(x)), np.int32) for _ in range(2))
         for t in range(self.trees):
-            for length in range(self.bits + 1):
-                prefix = strings[:, t] >> self.bits - length
-                low[length, :, t] = np.searchsorted(self.codes[t], prefix << self.bits - length)
-                high[length, :, t] = np.searchsorted(self.codes[t], prefix + 1 << self.bits - length)
-        met = (high - low).sum(2)
-        for q in range(len(queries)):
-            # fewer rows than `least` met in all cannot be enough different ones
-            length = int(np.flatnonzero(met[:, q] >= min(least, self.size))[-1])
-            found = np.zeros(self.size, bool)
+            prefix = strings[:, t] >> np.arange(self.bits, -1, -1)[:, None]
+            shift = np.arange(self.bits, -1, -1)[:, None]
+            low[:, t] = np.searchsorted(self.codes[t], prefix << shift)
+            high[:, t] = np.searchsorted(self.codes[t], prefix + 1 << shift)
+        met, least = (high - low).sum(1), min(max(rank, least), self.size)
+        for q in range(len(x)):
+            # fewer rows than that met in all cannot be enough different ones
+            length = int(np.flatnonzero(met[:, q] >= least)[-1])
+            seen, score, count = np.zeros(self.size, bool), np.full(self.size, -np.inf), 0
             while True:
-                for t, (a, z) in enumerate(zip(low[length, q].tolist(), high[length, q].tolist(), strict=True)):
-                    found[self.order[t, a:z]] = True
-                if length == 0 or np.count_nonzero(found) >= least:
+                for t, (a, z) in enumerate(zip(low[length, :, q].tolist(), high[length, :, q].tolist(), strict=True)):
+                    seen[self.order[t, a:z]] = True
+                new = np.flatnonzero(seen & (score == -np.inf))
+                score[new] = data[new] @ x[q]
+                count += len(new)
+                if length == 0 or count == self.size:
                     break
+                if count >= least:
+                    last = -np.partition(-score, rank - 1)[rank - 1]
+                    share = 1 - np.arccos(np.clip(last / self.scale / self.top / norm[q], -1, 1)) / np.pi
+                    if (1 - share**length) ** self.trees <= miss:
+                        break
                 length -= 1
-            yield np.flatnonzero(found)
-
-
-def _search(table: pa.Table, k: int, top: float, share: float, least: int) -> pa.Table:
-    """The k best rows of a shard for each query of a block."""
-    query = np.asarray(table["query"])
-    ids, x = np.asarray(table["id"]), _matrix(table["embedding"])
-    rows, asked = np.flatnonzero(query < 0), np.flatnonzero(query >= 0)
-    out: list[list] = [[], [], [], []]
-    if len(rows) and len(asked):
-        data, data_ids = x[rows], ids[rows]
-        forest = Forest(data, top)
-        for q, found in zip(asked.tolist(), forest.candidates(x[asked], max(int(share * len(rows)), least, k + 1)), strict=True):
-            found = found[data_ids[found] != ids[q]]
-            score = data[found] @ x[q]
-            if len(found) > k:  # with all that tie with the last
-                found, score = (v[score >= -np.partition(-score, k - 1)[k - 1]] for v in (found, score))
-            best = np.lexsort((data_ids[found], -score))[:k]
-            out[0] += [int(query[q])] * len(best)
-            out[1] += [int(ids[q])] * len(best)
-            out[2] += data_ids[found[best]].tolist()
-            out[3] += score[best].tolist()
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-    return pa.table({name: pa.array(v, kind) for name, v, kind in zip(("query", "query_id", "id", "score"), out, kinds, strict=True)})
-
-
-def _searcher(k: int, top: float, share: float, least: int):
-    return lambda table: _search(table, k, top, share, least)
-
-
-def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", embedding: str = "embedding", share: float = SHARE, least: int = LEAST, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of the k nearest rows found for every row of df that `queries` holds for."""
-    spark = df.sparkSession
-    ship(spark)
+            found = np.flatnonzero(seen)
+            yield found, score[found]
+
+
+def _searched(batches: Iterator[pa.RecordBatch], k: int, miss: float, trees: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of its shard for each query; rows (shard, query, id, rank, embedding) stand by shard, data (query is -1) first."""
+    shard, held, forest, data, ids = None, [], None, None, None
+    names = ["query", "query_id", "id", "score", "scored"]
+    for batch in batches:
+        shards, query = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        cuts = np.flatnonzero(np.concatenate([[True], (shards[1:] != shards[:-1]) | ((query[1:] < 0) != (query[:-1] < 0)), [True]])).tolist() if len(shards) else []
+        for a, z in zip(cuts, cuts[1:]):
+            part = batch.slice(a, z - a)
+            if shards[a] != shard:
+                shard, held, forest = shards[a], [], None
+            if query[a] < 0:
+                held.append((np.asarray(part.column(2)), _matrix(part.column(4))))
+                continue
+            if not held:
+                continue
+            if forest is None:
+                ids, data = (np.concatenate(x) for x in zip(*held, strict=True))
+                forest = Forest(data, trees, bits)
+            own, rank, x = np.asarray(part.column(2)), int(part.column(3)[0].as_py()), _matrix(part.column(4))
+            for at in range(0, len(own), 256):
+                out: list[list] = [[], [], [], [], []]
+                for q, (found, score) in enumerate(forest.nearest(x[at : at + 256], data, min(rank, len(data)), k + 1, miss), at):
+                    scored = len(found)
+                    other = ids[found] != own[q]
+                    found, score = found[other], score[other]
+                    if len(found) > k:  # with all that tie with the last
+                        found, score = (v[score >= -np.partition(-score, k - 1)[k - 1]] for v in (found, score))
+                    best = np.lexsort((ids[found], -score))[:k]
+                    for column, v in zip(out, ([int(query[a + q])] * len(best), [int(own[q])] * len(best), ids[found[best]].tolist(), score[best].tolist(), [scored] * len(best)), strict=True):
+                        column += v
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names)
+
+
+def search(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", embedding: str = "embedding", miss: float = MISS, shard: int = SHARD, trees: int = TREES, bits: int = BITS) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score and scored of the k nearest rows found for every row of df that `queries` holds for.
+
+    scored: how many rows of the shard were compared with the query.
+    """
     rows = df.withColumn("__asked", F.coalesce(queries, F.lit(False))).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{embedding}`").alias("embedding"), "__asked")
-    rows = written(rows.where("id is not null").where(_VALID).withColumn("row", F.monotonically_increasing_id()).withColumn("size", F.size("embedding")), "vectors")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    out = None
-    for r in sorted(rows.groupBy("size").agg(F.count("*").alias("n"), F.count(F.when(F.col("__asked"), 1)).alias("asked"), F.max(norm).alias("top")).collect(), key=lambda r: r["size"]):
-        shards, blocks, top = -(-r["n"] // shard), max(1, -(-r["asked"] // block)), r["top"] * (1 + 1e-12)
-        own = rows.where(F.col("size") == r["size"])
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        hashed = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
-        data = own.select(hashed(shards).alias("shard"), every(blocks).alias("block"), F.lit(-1).cast("long").alias("query"), "id", "embedding")
-        asked = own.where("__asked").select(every(shards).alias("shard"), hashed(blocks).alias("block"), F.col("row").alias("query"), "id", "embedding")
-
-        found = data.union(asked).groupBy("shard", "block").applyInArrow(_searcher(k, top, share, least), "query long, query_id long, id long, score double")
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = local_table(spark, [], "query long, query_id long, id long, score double")
+    rows = rows.where("id is not null").where(_VALID).withColumn("size", F.size("embedding"))
+    most = F.array_max(F.transform("embedding", lambda v: F.abs(v.cast("double"))))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + F.pow(v.cast("double") / most, F.lit(2.0)))
+    # the half is for vectors of unit length, which rounding is not to part
+    band = F.floor(2 * F.log2(most) + F.log2(norm) + 0.5).cast("int")
+    rows = written(rows.withColumn("band", band).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    # a row for each length and band that there is
+    bands = rows.groupBy("size", "band").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts"))
+    bands = written(bands.withColumn("shards", F.sum("parts").over(Window.partitionBy("size"))), "bands")
+    number = F.xxhash64("size", "band", "part")
+    data = rows.join(bands, ["size", "band"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    data = data.select(number.alias("shard"), F.lit(-1).cast("long").alias("query"), "id", F.lit(0).alias("rank"), "embedding")
+    every = bands.select("size", "band", "shards", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    asked = rows.where("__asked").select("size", "row", "id", "embedding").join(every, "size")
+    asked = asked.select(number.alias("shard"), F.col("row").alias("query"), "id", (F.ceil(k / F.col("shards")) + 1).cast("int").alias("rank"), "embedding")
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = data.union(asked).repartition(parts, "shard").sortWithinPartitions("shard", "query")
+    found = map_batches(dealt, lambda batches: _searched(batches, k, miss, trees, bits), "query long, query_id long, id long, score double, scored long")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score", "scored")
