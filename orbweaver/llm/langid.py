@@ -1,18 +1,18 @@
 """Language ID with a string kernel.
 
-A text is lower-cased, every run of non-letters becomes one blank, and letters outside the model's alphabet share one
-symbol. The kernel of two texts is the number of different 1-, 2- and 3-grams that both have (blended spectrum, presence
-only), divided by the geometric mean of their own numbers. Landmark texts give the Nyström features K(x, landmarks)
+A text is lower-cased, and every run of non-letters becomes one blank. The kernel of two texts is the number of different
+1-, 2- and 3-grams that both have (blended spectrum, presence only), divided by the geometric mean of their own numbers.
+N-grams of letters of any script have places in a table by hash, so there is no alphabet to cut. Landmark texts give the Nyström features K(x, landmarks)
 K(landmarks, landmarks)^-1/2; one ridge regression for each language against the rest is fitted on them. As the kernel is
 linear in presence, landmarks and weights fold into one matrix with a row per n-gram, and a batch of texts is scored as
 one product of its presence matrix with it.
 
-The model is fitted on a bounded sample: `per_class` texts of each language (those of smallest hash of the key), of which
-`landmarks` are landmarks, and the `letters` most frequent letters. Every row is scored, whole texts only. lang, source
-and key are never inputs of a prediction.
+The model is fitted on a bounded sample: `per_class` texts (those of smallest hash of the key) of each of the `languages`
+languages with most rows, of which `landmarks` are landmarks (fewer of each beyond MOST_LANDMARKS). Every row is scored,
+whole texts only. lang, source and key are never inputs of a prediction.
 
 keep_known() also drops texts that the language found does not explain. A 3-gram is typical of a language if a share
-TYPICAL of its sample has it, letters outside the alphabet never. The share of a text's 3-grams that are typical of the
+TYPICAL of its sample has it. The share of a text's 3-grams that are typical of the
 language found, and CERTAIN / sqrt(their number) for chance in short texts, must reach a floor of the language: CAUTION
 times the share that 99 % of its own sample reach, each text counted by the others. Unlike the scores of regressions
 against the rest, whose sum is fixed, this does not depend on how many languages there are.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ from pyspark.sql import Window
 
 from .runtime import map_batches
 
-#: Texts of each language that the model is fitted on, those of them that are landmarks, and letters of the alphabet.
-PER_CLASS, LANDMARKS, LETTERS = 400, 64, 62
+#: Texts of each language that the model is fitted on, those of them that are landmarks, languages learned, and landmarks in all.
+PER_CLASS, LANDMARKS, LANGUAGES, MOST_LANDMARKS = 400, 64, 256, 2048
+#: Bits of the places of shorter n-grams, and of 3-grams.
+SHORT, LONG = 18, 20
 #: Weight of the ridge.
 RIDGE = 1e-3
 #: Of a language's texts those that have a typical 3-gram, at least; the part of its texts' usual share that must be reached; three standard deviations of one 3-gram.
@@ -50,100 +53,75 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
-@dataclass
-class Alphabet:
-    symbols: np.ndarray  # by code point: 0 for what is no letter, else 1 ...
-    size: int
-
-    @classmethod
-    def of(cls, texts: list[str], letters: int) -> Alphabet:
-        counts: dict[str, int] = {}
-        for t in texts:
-            for c in set(t.lower()):
-                if c.isalpha():
-                    counts[c] = counts.get(c, 0) + 1
-        chosen = sorted(counts, key=lambda c: (-counts[c], c))[:letters]
-        symbols = np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000).astype(np.uint8) * (len(chosen) + 1)
-        for k, c in enumerate(chosen):
-            symbols[ord(c)] = k + 1
-        return cls(symbols, len(chosen) + 2)
-
-    def grams(self) -> int:
-        return self.size + self.size**2 + self.size**3
-
-    def presence(self, text: str | None, into: np.ndarray) -> bool:
-        """Mark the text's n-grams in `into`; False if it has no letter."""
-        points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-        s = self.symbols[points].astype(np.int32)
-        if not s.any():
-            return False
-        s = np.concatenate([[0], s, [0]]).astype(np.int32)
-        s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
-        n = self.size
-        two = s[:-1] * n + s[1:]
-        into[s] = 1
-        into[n + two] = 1
-        into[n + n * n + two[:-1] * n + s[2:]] = 1
-        return True
-
-
-    def three(self, held: np.ndarray, text: str) -> tuple[np.ndarray, int]:
-        """The 3-grams marked in `held`, numbered from 0, and how many the text has with letters outside the alphabet told apart."""
-        n = self.size
-        found = np.flatnonzero(held[n + n * n :])
-        if not held[n - 1]:
-            return found, len(found)
-        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-        s = np.concatenate([[0], self.symbols[points], [0]])
-        points = np.concatenate([[0], points, [0]]) * (s != 0)
-        stay = np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])
-        s, points = s[stay], points[stay]
-        codes = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
-        return found, len(np.unique(codes))
-
-
-def _typical(alphabet: Alphabet, rows: list[tuple[str, np.ndarray, int]], languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Which 3-grams are typical of each language, and the floors of the languages; rows have a text's 3-grams and their number."""
-    n = alphabet.size
-    at = np.arange(n**3)
-    strange = (at // n**2 == n - 1) | (at // n % n == n - 1) | (at % n == n - 1)
-    typical, floors = np.zeros((len(languages), n**3), bool), np.zeros(len(languages))
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000)
+
+
+def _places(codes: np.ndarray, bits: int, odd: int) -> np.ndarray:
+    return (codes * np.uint64(odd) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def grams(text: str | None) -> np.ndarray | None:
+    """The places of the text's 1-, 2- and 3-grams, with repeats; 3-grams stand from 1 << SHORT on. None if it has no letter."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
+    s = np.where(_letters()[points], points, 0).astype(np.uint64)
+    if not s.any():
+        return None
+    s = np.pad(s, 1)
+    s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
+    two = s[:-1] << np.uint64(21) | s[1:]
+    three = two[:-1] << np.uint64(21) | s[2:]
+    return np.concatenate([_places(s, SHORT, 0x9E3779B97F4A7C15), _places(two, SHORT, 0xD6E8FEB86659FD93), (1 << SHORT) + _places(three, LONG, 0xBF58476D1CE4E5B9)])
+
+
+def _typical(rows: list[tuple[str, np.ndarray]], languages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of typical 3-grams, of which languages they are (none in the row after the last), and the floors of the languages."""
+    each, floors = [], np.zeros(len(languages))
     for k, lang in enumerate(languages):
-        own = [(three, size) for of, three, size in rows if of == lang and size]
-        counts = np.bincount(np.concatenate([*(x for x, _ in own), np.zeros(0, np.int64)]), minlength=n**3)
-        counts[strange] = 0
-        typical[k] = (counts >= TYPICAL * len(own)) & (counts > 0)
+        own = [x for of, x in rows if of == lang]
+        counts = np.bincount(np.concatenate([*own, np.zeros(0, np.int64)]), minlength=1 << LONG)
+        each.append(np.flatnonzero((counts >= TYPICAL * len(own)) & (counts > 0)))
         if len(own) > 1:
-            shares = [np.count_nonzero((counts[x] - 1 >= TYPICAL * (len(own) - 1)) & (counts[x] > 1)) / size for x, size in own]
+            shares = [np.count_nonzero((counts[x] - 1 >= TYPICAL * (len(own) - 1)) & (counts[x] > 1)) / len(x) for x in own]
             floors[k] = CAUTION * np.quantile(shares, 0.01)
-    return typical, floors
+    at = np.unique(np.concatenate([*each, np.zeros(0, np.int64)]))
+    of = np.zeros((len(at) + 1, len(languages)), bool)
+    for k, x in enumerate(each):
+        of[np.searchsorted(at, x), k] = True
+    return at, of, floors
 
 
 @dataclass
 class Model:
-    alphabet: Alphabet
-    columns: np.ndarray  # the n-grams that landmarks have
+    columns: np.ndarray  # the places of n-grams that landmarks have
     weights: np.ndarray  # n-gram x language
     bias: np.ndarray
     languages: list[str]
-    typical: np.ndarray  # language x 3-gram
+    typical_at: np.ndarray  # places of 3-grams
+    typical: np.ndarray  # 3-gram x language
     floors: np.ndarray
 
     def scores(self, texts: list[str | None], familiar: np.ndarray | None = None) -> np.ndarray:
         """Rows of one-versus-rest outputs; a row of NaN for a text without letters. familiar: filled with how far each text's share is above each language's floor."""
         out = np.full((len(texts), len(self.languages)), np.nan)
-        held = np.zeros(self.alphabet.grams(), np.uint8)
+        held = np.zeros((1 << SHORT) + (1 << LONG), bool)
         for at in range(0, len(texts), ROWS):
             part = texts[at : at + ROWS]
             matrix, norms = np.zeros((len(part), len(self.columns)), np.float32), np.full(len(part), np.nan)
             for k, t in enumerate(part):
-                held[:] = 0
-                if self.alphabet.presence(t, held):
-                    norms[k] = np.sqrt(np.count_nonzero(held))
-                    matrix[k] = held[self.columns]
-                    if familiar is not None:
-                        three, size = self.alphabet.three(held, t)
-                        familiar[at + k] = (self.typical[:, three].sum(1) + CERTAIN * np.sqrt(size)) / size - self.floors
+                if (places := grams(t)) is None:
+                    continue
+                held[places] = True
+                norms[k] = np.sqrt(np.count_nonzero(held))
+                matrix[k] = held[self.columns]
+                if familiar is not None:
+                    three = np.flatnonzero(held[1 << SHORT :])
+                    slot = np.searchsorted(self.typical_at, three)
+                    near = np.minimum(slot, max(0, len(self.typical_at) - 1))
+                    slot = np.where(self.typical_at[near] == three, slot, len(self.typical_at)) if len(self.typical_at) else slot
+                    familiar[at + k] = (self.typical[slot].sum(0) + CERTAIN * np.sqrt(len(three))) / len(three) - self.floors
+                held[places] = False
             out[at : at + len(part)] = (matrix @ self.weights) / norms[:, None] + self.bias
         return out
 
@@ -161,11 +139,11 @@ class Model:
         return [self.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], chance.tolist()
 
 
-def sample(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_class: int = PER_CLASS) -> list[tuple[str, str]]:
-    """(lang, text) of at most per_class rows of each language, those of smallest hash of the key; held-out rows never."""
+def sample(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_class: int = PER_CLASS, languages: int = LANGUAGES) -> list[tuple[str, str]]:
+    """(lang, text) of at most per_class rows of each of the languages with most rows, those of smallest hash of the key; held-out rows never."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("key").isNotNull() & F.col("lang").isNotNull() & ~held_out("key"))
     hashed = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 20))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return []
     # first by a share of the hashes that holds the smallest ones with near certainty, so that no language is sorted whole
@@ -176,26 +154,15 @@ def sample(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     return [(r["lang"], r["text"]) for r in sorted(found, key=lambda r: (r["rank"], r["lang"]))]
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, letters: int = LETTERS, ridge: float = RIDGE) -> Model:
-    alphabet = Alphabet.of([t or "" for _, t in rows], letters)
-    held = np.zeros(alphabet.grams(), np.uint8)
-
-    def marked(t: str | None) -> np.ndarray | None:
-        held[:] = 0
-        return np.flatnonzero(held) if alphabet.presence(t, held) else None
-
-    known, threes = [], []
-    for lang, t in rows:
-        if (at := marked(t)) is not None:
-            known.append((lang, at))
-            threes.append((lang, *alphabet.three(held, t)))
+def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    known = [(lang, np.unique(places)) for lang, t in rows if (places := grams(t)) is not None]
     languages = sorted({lang for lang, _ in known})
     if not languages:
-        return Model(alphabet, np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), [], np.zeros((0, 0), bool), np.zeros(0))
+        return Model(np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), [], np.zeros(0, np.int64), np.zeros((1, 0), bool), np.zeros(0))
     seen = dict.fromkeys(languages, 0)
     chosen = []
     for lang, at in known:
-        if seen[lang] < landmarks:
+        if seen[lang] < min(landmarks, max(1, MOST_LANDMARKS // len(languages))):
             seen[lang] += 1
             chosen.append(at)
     columns = np.unique(np.concatenate(chosen))
@@ -218,7 +185,8 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, letters: int =
     middle, level = features.mean(0), wanted.mean(0)
     centred = features - middle
     beta = np.linalg.solve(centred.T @ centred + ridge * len(known) * np.eye(root.shape[1]), centred.T @ (wanted - level))
-    return Model(alphabet, columns, (marks.T.astype(np.float64) @ (root @ beta)).astype(np.float32), level - middle @ beta, languages, *_typical(alphabet, threes, languages))
+    threes = [(lang, at[at >= 1 << SHORT] - (1 << SHORT)) for lang, at in known]
+    return Model(columns, (marks.T.astype(np.float64) @ (root @ beta)).astype(np.float32), level - middle @ beta, languages, *_typical(threes, languages))
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", reject: bool = False) -> DataFrame:
@@ -237,7 +205,8 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "l
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Per row: key, held_out, lang_pred, score."""
     model = fit(sample(df, key, text, lang))
-    return predict(df.select(F.col(key), held_out(key).alias("held_out"), F.col(text)), model, text).drop(text)
+    rows = df.select(F.col(f"`{key}`").alias("key"), held_out(f"`{key}`").alias("held_out"), F.col(f"`{text}`").alias("text"))
+    return predict(rows, model).select(F.col("key").alias(key), "held_out", "lang_pred", "score")
 
 
 def keep_known(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.25) -> DataFrame:

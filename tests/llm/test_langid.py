@@ -25,11 +25,9 @@ def kernel(a, b):
 
 def test_presence_is_the_kernel():
     texts = [t for _, t, _ in made(6)] + ["Kata, 3 KATA!"]
-    alphabet = langid.Alphabet.of(texts, 62)
-    marks = np.zeros((len(texts), alphabet.grams()), np.uint8)
+    marks = np.zeros((len(texts), (1 << langid.SHORT) + (1 << langid.LONG)))
     for row, t in zip(marks, texts, strict=True):
-        assert alphabet.presence(t, row)
-    marks = marks.astype(float)
+        row[langid.grams(t)] = 1
     ours = marks @ marks.T / np.sqrt(np.outer(marks.sum(1), marks.sum(1)))
     assert np.allclose(ours, [[kernel(a, b) for b in texts] for a in texts])
 
@@ -90,3 +88,27 @@ def test_texts_in_unlearned_languages_go(spark):
         kept = langid.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
         assert {r["doc_id"] for r in kept} == {k for k, _, lang in rows if lang}
         assert all(r["lang"] == rows_lang for r in kept for k, _, rows_lang in rows if k == r["doc_id"])
+
+
+def test_large_alphabets():
+    """Languages of two thousand letters each, some of one script, beside small ones."""
+    draw = np.random.default_rng(4)
+    letters = {"x1": (0x4E00, 2000), "x2": (0x5A00, 2000), "x3": (0xAC00, 2000), "s1": (0x61, 13), "s2": (0x6E, 13)}
+    words = {k: ["".join(chr(a + int(c)) for c in draw.zipf(1.2, 3) % n) for _ in range(1500)] for k, (a, n) in letters.items()}
+    text = lambda k: " ".join(draw.choice(words[k], 40))
+    model = langid.fit([(k, text(k)) for _ in range(100) for k in letters])
+    asked = [k for _ in range(60) for k in letters]
+    got, _ = model.predict([text(k) for k in asked])
+    for k in letters:
+        assert np.mean([g == k for g, a in zip(got, asked, strict=True) if a == k]) >= 0.95
+
+
+def test_ties_and_clashing_columns(spark):
+    """Texts of no learned n-gram score alike in languages of equal shares: the first is taken, each time."""
+    rows = [(k, t, lang, True, 0.5) for k, t, lang in made(60)] + [(900 + k, "жжж", None, False, 0.1) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out boolean, score double")
+    got = langid.identify(df)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    assert len({(r["lang_pred"], r["score"]) for r in got.where("doc_id >= 900").collect()}) == 1
+    model = langid.fit([("b", "kata tako"), ("a", "kata tako")])
+    assert model.predict(["kata", "zzz"])[0] == ["a", "a"]
