@@ -1,15 +1,17 @@
 """Mixing sources to target weights in fixed-length blocks.
 
-The words of each source, in the order of its documents' keys, are packed into blocks of `block` words. Every source has
-a number of output slots that makes its target; output shards draw how many of their slots each source gets from a
+The words of each source, in the order of its documents' keys, are packed into blocks of one length: `block` words, or a
+256th of the source where that is shorter, so that whole blocks make any source's target. Every source has a number of
+output slots that makes its target; output shards draw how many of their slots each source gets from a
 multinomial distribution over what the sources have left, so that the last shard makes the targets whole. A source's
 slots are numbered on over the shards, and slot k takes block p(k mod blocks), p being a pseudorandom permutation of the
 source's block numbers for each round through them (a Feistel network that walks past numbers out of range). So each
 block is taken in every full round and in a share of the last one, and never more than `most` times. Blocks are joined
 to slots by source and index. Everything follows from the seed and the data; runs agree.
 
-The plan on the driver has a row for each source and for each shard (SHARDS at most). Word offsets come from sums over
-sorted partitions, of which the driver sees one row for each partition and source that meet.
+The plan on the driver has a row for each source and for each shard, and PLAN numbers at most: shards grow where there are
+many sources. More than SOURCES sources raise ValueError. Word offsets come from sums over sorted partitions, of which the
+driver sees one row for each partition and source that meet.
 
 A null or empty text has size 0 and is taken 0 times. A null source is a source, the last; rows with null keys come
 first; rows with equal keys stand in order of their sizes. Repeated rows are documents of their own. An empty table
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .runtime import local_table, map_batches, written
 
-#: Words of a block; slots of an output shard; shards at most (they grow beyond that).
-BLOCK, SLOTS, SHARDS = 256, 4096, 20_000
+#: Words of a block, and blocks that any source has if it has so many words; slots of an output shard; shards at most.
+BLOCK, PARTS, SLOTS, SHARDS = 256, 256, 4096, 20_000
+#: Sources, and numbers of a plan, at most.
+SOURCES, PLAN = 10_000, 4_000_000
 WEIGHTS = (5, 2, 1)
 MOST = 3
 
@@ -78,15 +82,12 @@ def _offsets(df: DataFrame, key: str, text: str, source: str, whole: bool) -> Da
     """part, row, __source, __size and the words of the source before the document within its partition; with df's columns if whole."""
     names = df.columns if whole else []
 
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = pa.array([len((t or "").encode().split()) for t in batch.column(2).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, *batch.columns[3:]], ["__key", "__source", "__size", *names])
-
     kind = df.schema[key].dataType.simpleString()
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in df.schema if whole)
-    staged = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{source}`").cast("string").alias("__source"), F.col(f"`{text}`").alias("__text"), *(F.col(f"`{c}`") for c in names))
-    rows = map_batches(staged, sized, f"__key {kind}, __source string, __size long{fields}")
+    size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+    rows = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{source}`").cast("string").alias("__source"), size.alias("__size"), *(F.col(f"`{c}`") for c in names))
+    if not whole:  # a range is dealt after a sample of it: small rows are written first, not counted twice
+        rows = written(rows, "sizes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -119,12 +120,15 @@ class Plan:
             k = self.number[r["__source"]]
             self.before[r["__part"], r["__source"]] = self.sizes[k]
             self.sizes[k] += r["n"]
+        if len(self.sources) > SOURCES:
+            raise ValueError(f"{len(self.sources)} sources, more than {SOURCES}")
         self.targets = targets(self.sizes, weights, 1.0, most)
-        self.block, self.seed, self.slots = block, seed, slots
-        self.blocks = [-(-n // block) for n in self.sizes]
+        self.seed, self.slots = seed, slots
+        self.lengths = [max(1, min(block, n // PARTS)) for n in self.sizes]
+        self.blocks = [-(-n // b) for n, b in zip(self.sizes, self.lengths, strict=True)]
         rounds = [min(most, int(t // n)) if n else 0 for t, n in zip(self.targets, self.sizes, strict=True)]
         self.quota = [e * b + (round((t - e * n) / n * b) if n and e < most else 0) for e, b, t, n in zip(rounds, self.blocks, self.targets, self.sizes, strict=True)]
-        self.slots = max(slots, -(-sum(self.quota) // shards))
+        self.slots = max(slots, -(-sum(self.quota) // max(1, min(shards, PLAN // max(1, len(self.sources))))))
 
     def draws(self) -> list[tuple[int, list[int], list[int]]]:
         """For each output shard, the slots of each source and the number of the first."""
@@ -167,20 +171,23 @@ def slots(df: DataFrame, plan: Plan) -> DataFrame:
 
 def _pieces(offsets: DataFrame, plan: Plan) -> DataFrame:
     """A row for each document and block that meet: the document's place, and the words of it in the block."""
-    before, number, block = plan.before, plan.number, plan.block
+    before, number, lengths = plan.before, plan.number, np.array([*plan.lengths, 1], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part, row, source, size, start = (c.to_pylist() for c in batch.columns)
             begin = np.array([a + before[p, s] for a, p, s in zip(start, part, source, strict=True)], np.int64)
             size = np.array(size, np.int64)
+            own = np.array([number[s] for s in source], np.int64)
+            block = lengths[own]
             first = begin // block
             count = np.where(size > 0, (begin + size - 1) // block - first + 1, 0)
             which = np.repeat(np.arange(len(size)), count)
             b = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+            block = block[which]
             a = np.maximum(b * block, begin[which]) - begin[which]
             z = np.minimum((b + 1) * block, begin[which] + size[which]) - begin[which]
-            columns = [np.array(part, np.int32)[which], np.array(row, np.int64)[which], np.array([number[s] for s in source], np.int32)[which], b, a, z]
+            columns = [np.array(part, np.int32)[which], np.array(row, np.int64)[which], own[which].astype(np.int32), b, a, z]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "row", "source_number", "block", "a", "z"])
 
     return map_batches(offsets.select("__part", "__row", "__source", "__size", "__start"), run, "part int, row long, source_number int, block long, a long, z long")
@@ -198,6 +205,7 @@ def take(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     offsets = _offsets(df, key, text, source, False)
     plan = Plan(offsets, block, seed, weights, most, slots_, shards)
     taken = _taken(offsets, plan).groupBy("part", "row").agg(F.sum(F.col("times") * (F.col("z") - F.col("a"))).alias("taken"))
+    # SOURCES rows at most
     per_source = local_table(df.sparkSession, zip(plan.sources, plan.sizes, plan.targets, strict=True), "source string, source_size long, target double")
     rows = offsets.join(taken.hint("merge"), (F.col("__part") == F.col("part")) & (F.col("__row") == F.col("row")), "left").join(F.broadcast(per_source), F.col("__source").eqNullSafe(F.col("source")))
     return rows.select(F.col("__key").alias(key), F.col("__size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
