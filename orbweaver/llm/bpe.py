@@ -3,7 +3,9 @@
 Each pre-token has a segment tree whose leaf p holds the rank of the pair that starts at symbol p (with p itself, so
 that equal ranks go to the left). The root is the leftmost merge of lowest rank. A merge changes three leaves, each
 brought up to the root in logarithmic steps, until no pair can be merged. The trees of many pre-tokens of like length
-are rows of one array, and each step runs over all rows at once.
+are rows of one array, and each step runs over all rows at once. A pre-token of over LONG bytes has a tree of its own,
+whose steps take all pairs of the root's rank: they are found from the root down, and would be merged one after another,
+from the left, as long as a merge makes no pair of lower rank (it cannot, unless a token is made in two ways).
 
 Null texts count as empty; an empty text has no ids and decodes to an empty text. Texts of any length are encoded whole.
 Rows are independent: repeated rows, ties and other columns change nothing, and an empty table gives an empty result.
@@ -28,6 +30,8 @@ from .runtime import Memo, chunks, map_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _NONE = np.int64(1 << 62)
+#: Bytes from which on a pre-token has a tree of its own.
+LONG = 256
 
 
 def byte_symbols() -> list[str]:
@@ -54,6 +58,12 @@ class SegmentTreeBPE:
         keys = np.fromiter(ranks, np.int64, len(ranks))
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.fromiter(ranks.values(), np.int64, len(ranks))[order]
+        rank = self.ranks
+        first = np.full(1 + max(vocabulary.values()), _NONE)  # of the pairs that a token is part of, the lowest rank
+        for part in (self.keys >> 20, self.keys & (1 << 20) - 1):
+            np.minimum.at(first, part, rank)
+        self.alone = first[self.merged] <= np.arange(len(self.merged))  # ranks whose merges can make a pair that comes before
+        self.double = left == right
         self.byte_id = np.array([vocabulary[c] for c in symbols], np.int64)
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
         size = 1 + max([*vocabulary.values(), *self.special.values()])
@@ -86,6 +96,10 @@ class SegmentTreeBPE:
         classes = np.where(sizes < 2, 1, 1 << np.ceil(np.log2(np.maximum(sizes, 2))).astype(np.int64))
         for width in np.unique(classes).tolist():
             rows = [k for k in np.flatnonzero(classes == width).tolist() if k not in special]
+            if width > LONG:
+                for k in rows:
+                    out[k] = self.merge_long(words[k], width)
+                continue
             step = max(1, (1 << 17) // width)
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
@@ -142,6 +156,52 @@ class SegmentTreeBPE:
         kept = ids >= 0
         return np.split(ids[kept], np.cumsum(kept.sum(1))[:-1])
 
+    def merge_long(self, word: bytes, width: int) -> np.ndarray:
+        """Ids of one byte string of at most `width` (a power of two) bytes."""
+        n = len(word)
+        ids = np.full(n + 1, -1, np.int64)
+        ids[:n] = self.byte_id[np.frombuffer(word, np.uint8)]
+        after, before = np.arange(1, n + 3), np.arange(-1, n + 1)
+        after[n:] = n
+        tree = np.full(2 * width, _NONE)
+
+        def ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            found = self._rank(ids[a], ids[b])
+            return np.where(found >= 0, found, _NONE)
+
+        tree[width : width + n] = ranks(np.arange(n), np.arange(1, n + 1))
+        level = width >> 1
+        while level:
+            tree[level : 2 * level] = np.minimum(tree[2 * level : 4 * level : 2], tree[2 * level + 1 : 4 * level : 2])
+            level >>= 1
+        while (rank := tree[1]) < _NONE:
+            node = np.array([1])
+            while node[0] < width:
+                node = (2 * node[:, None] + np.arange(2)).ravel()
+                node = node[tree[node] == rank]
+            here = node - width
+            if self.alone[rank]:
+                here = here[:1]
+            elif self.double[rank] and len(here) > 1:  # of pairs that overlap, every second one
+                new = np.concatenate([[True], after[here[:-1]] != here[1:]])
+                at = np.arange(len(here))
+                here = here[(at - np.maximum.accumulate(np.where(new, at, 0))) % 2 == 0]
+            gone = after[here]
+            then = after[gone]
+            ids[here], ids[gone] = self.merged[rank], -1
+            after[here], before[then] = then, here
+            first = before[here]
+            has = first >= 0
+            tree[width + gone] = _NONE
+            tree[width + here] = ranks(here, then)
+            tree[width + first[has]] = ranks(first[has], here[has])
+            node = np.unique(np.concatenate([here, gone, first[has]]) + width >> 1)
+            while node[0]:
+                tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+                node = node >> 1
+                node = node[np.concatenate([[True], node[1:] != node[:-1]])]
+        return ids[ids >= 0]
+
     def _set(self, tree: np.ndarray, rows: np.ndarray, width: int, leaf: np.ndarray, a: np.ndarray, b: np.ndarray, shift: np.int64) -> None:
         ranks = self._rank(a, b)
         tree[rows, width + leaf] = np.where(ranks >= 0, ranks << shift | leaf, _NONE)

@@ -63,8 +63,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndar
     return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
+#: Characters of all pieces that a memo keeps, at most.
+MEMO_CHARS = 16_000_000
+
+
 class Memo:
-    """Token ids of pieces of text, kept from one batch to the next; emptied when it holds `most` pieces, so memory is bounded.
+    """Token ids of pieces of text, kept from one batch to the next.
+
+    It is emptied when it holds `most` pieces or MEMO_CHARS characters, so memory is bounded where pieces are long, too.
 
     encode: gives the pieces in an order of its own, all their ids in that order, and how many each has.
     """
@@ -76,7 +82,7 @@ class Memo:
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
         self.starts, self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint16)
-        self.used = 0
+        self.used = self.chars = 0
 
     @staticmethod
     def _grown(a: np.ndarray, n: int) -> np.ndarray:
@@ -84,7 +90,7 @@ class Memo:
 
     def places(self, pieces: list[str]) -> np.ndarray:
         """For each piece where its ids are in `starts`, `lengths` and `flat`, until the next call."""
-        if len(self.at) > self.most:
+        if len(self.at) > self.most or self.chars > MEMO_CHARS:
             self._clear()
         new = list(set(pieces).difference(self.at))
         if new:
@@ -96,6 +102,7 @@ class Memo:
             self.starts[n : n + k] = self.used + np.cumsum(lengths) - lengths
             self.flat[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
+            self.chars += sum(map(len, new))
             self.at.update(zip(new, range(n, n + k), strict=True))
         return np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
 

@@ -1,5 +1,7 @@
 import hashlib
+import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -51,6 +53,38 @@ def test_tree_against_plain_merging():
     assert [x.tolist() for x in ours.merge(words, 32)] == [naive(ours, w) for w in words]
 
 
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefghijklmnopqrstuvwxyz", "\u65e5\u672c\u8a9e\u4e2d\u6587", "!?-"])
+def test_long_pieces(library, letters):
+    """Pieces with trees of their own; the longest would take minutes with a merge a step."""
+    ours, draw = bpe.SegmentTreeBPE(VOCABULARY), random.Random(3)
+    some = ["".join(draw.choice(letters) for _ in range(n)) for n in (255, 256, 257, 600, 100_000)]
+    began = time.perf_counter()
+    assert [x.tolist() for x in ours.encode(some)] == [x.ids for x in library.encode_batch(some, add_special_tokens=False)]
+    assert time.perf_counter() - began < 20
+
+
+def test_merges_that_make_an_earlier_pair(tmp_path):
+    """Where a merge makes a pair of lower rank, long pieces merge one pair a step."""
+    made = ["ab", "abc", "abcd"]
+    vocabulary = {c: k for k, c in enumerate([*bpe.byte_symbols(), *made])}
+    (tmp_path / "v.json").write_text(json.dumps({"model": {"vocab": vocabulary, "merges": ["abc d", "a b", "ab c"]}, "added_tokens": []}))
+    ours, draw = bpe.SegmentTreeBPE(str(tmp_path / "v.json")), random.Random(4)
+    assert ours.alone.tolist() == [False, False, True]
+    for n in (40, 700):
+        word = bytes(draw.choice(b"abcd") for _ in range(n)) + b"abcabcdab"
+        assert ours.merge_long(word, 1024).tolist() == ours.merge([word], 1024)[0].tolist() == naive(ours, word)
+
+
+def test_memo_is_bounded_in_characters(library, monkeypatch):
+    from orbweaver.llm import runtime
+
+    monkeypatch.setattr(runtime, "MEMO_CHARS", 5000)
+    ours = bpe.SegmentTreeBPE(VOCABULARY)
+    for k in range(30):
+        ours.encode(["x" * (1000 + k)])
+    assert len(ours.memo.at) <= 7 and ours.memo.chars <= 7500
+
+
 def test_memory_stays_bounded(library):
     ours = bpe.SegmentTreeBPE(VOCABULARY)
     ours.memo.most = 20
