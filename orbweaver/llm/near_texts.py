@@ -200,23 +200,37 @@ def _mixed(batches: Iterator[pa.RecordBatch], keys: int, shared: int, bits: int)
     text, h = np.concatenate(who), np.concatenate(hs)
     order, first, sizes = _postings(h)
     text, h, word = text[order], h[order], bytes_.view(np.uint64)
-    four = choices(bytes_.shape[1] // 8, keys)
-    large = sizes > FEW
-    for at, size in zip(first[large].tolist(), sizes[large].tolist()):
-        member = text[at : at + size]
-        own, number = np.unique(label[member], return_inverse=True)
-        if len(own) == 1:
-            continue
-        for x in member[number != np.bincount(number).argmax()].tolist():
-            for k in range(0, size, 1 << 14):
-                y = member[k : k + (1 << 14)]
-                y = y[(label[y] != label[x]) & (np.bitwise_count(word[y] ^ word[x]).sum(1, dtype=np.int64) <= bits)]
-                y = y[tally(bytes_[y], bytes_[x]) >= shared]
-                if len(y):
-                    equal = (bytes_[y] == bytes_[x])[:, four].all(2)
-                    y = y[entries(bytes_[y], bytes_.shape[1] // 8, keys)[np.arange(len(y)), equal.argmax(1)] & np.uint64((1 << 40) - 1) == h[at] & np.uint64((1 << 40) - 1)]
-                if len(y):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y]))], ["a", "b"])
+    four, own = choices(bytes_.shape[1] // 8, keys), h & np.uint64((1 << 40) - 1)
+
+    def retained(x: np.ndarray, y: np.ndarray, posting: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of the pairs x, y of members of that posting; x and y are texts, posting places in h."""
+        apart = np.flatnonzero(label[x] != label[y])
+        apart = apart[np.bitwise_count(word[x[apart]] ^ word[y[apart]]).sum(1, dtype=np.int64) <= bits]
+        apart = apart[tally(bytes_[x[apart]], bytes_[y[apart]]) >= shared]
+        if len(apart):
+            x, y = x[apart], y[apart]
+            first_shared = (bytes_[x] == bytes_[y])[:, four].all(2).argmax(1)
+            met = entries(bytes_[x], bytes_.shape[1] // 8, keys)[np.arange(len(x)), first_shared] & np.uint64((1 << 40) - 1)
+            x, y = (rep[v[met == own[posting[apart]]]] for v in (x, y))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    for size in np.unique(sizes[sizes > FEW]).tolist():
+        at = first[sizes == size]
+        if size <= 64:  # many small postings at a time
+            i, j = np.triu_indices(size, 1)
+            for k in range(0, len(at), step := max(1, (1 << 15) // len(i))):
+                some = at[k : k + step, None]
+                yield from retained(text[(some + i).ravel()], text[(some + j).ravel()], np.repeat(some[:, 0], len(i)))
+        else:
+            for k in at.tolist():
+                member = text[k : k + size]
+                named, number = np.unique(label[member], return_inverse=True)
+                if len(named) > 1:
+                    outside = member[number != np.bincount(number).argmax()]
+                    for row in range(0, len(outside), step := max(1, (1 << 15) // size)):
+                        x, y = (v.ravel() for v in np.meshgrid(outside[row : row + step], member, indexing="ij"))
+                        yield from retained(x, y, np.full(len(x), k))
 
 
 def _index(texts: DataFrame, count: int, keys: int, whole: bool) -> DataFrame:
