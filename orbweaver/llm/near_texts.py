@@ -9,11 +9,12 @@ positional bytes are tallied; pairs that reach SHARED, and differ in BITS bits a
 ever linked. Of pairs at 0.8 some 95 % meet, of those at 0.85 over 99.9 % (simulated; README).
 
 Texts of equal sets are made one first. Index entries are dealt by hash over tasks of bounded size, packed as arrays: six
-bytes or so an entry. A posting of up to FEW texts gives all its pairs; a larger one the pairs with its smallest key, which
-join most of it, and blocks of a table keep FEW of theirs of one posting, so that a hot posting does not gather. Links are
-verified for each text's nearest partner first, then for pairs still in different components. Last, large postings that
-still hold several components are compared whole, in blocks, each pair in the first posting that it shares: of any two
-texts of a posting that are not joined, the pair was tallied. No pairs within a component are emitted there.
+bytes or so an entry; of a posting's texts in one block of a table only the first goes on, with the others noted as met by
+it, so that a hot posting does not gather. A first round joins each text with the smallest one that it met so. Then the
+index is dealt again, for texts that met others, with fingerprints and components: postings are compared in blocks, and
+pairs in one component already are passed over. The second round takes each text's nearest partner, the third every pair
+that is retained, in the first posting that it shares. So of any two texts that meet and end in different components the
+pair was tallied and verified, while a large group of copies takes a few pairs of each text, not all its pairs.
 
 Words are what stands between ASCII white space, A-Z in lower case; a text of fewer words than a shingle has is one
 shingle. Null, empty and blank texts have the empty set and are copies of each other. Rows with equal keys go together.
@@ -37,8 +38,10 @@ from .simhash import majority, shingle_hashes, tally
 
 #: Words of a fingerprint, choices of four of its positions, and pairs retained: least shared bytes, most differing bits.
 WORDS, KEYS, SHARED, BITS = 16, 960, 20, 192
-#: Texts of a posting up to which all pairs are made; texts of a sender's block; index entries of a task.
-FEW, BLOCK, ENTRIES = 4, 2048, 1 << 21
+#: Texts of a sender's block; index entries of a task.
+BLOCK, ENTRIES = 2048, 1 << 21
+#: Pairs compared at a time.
+_PAIRS = 1 << 15
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -85,8 +88,8 @@ _BLOB = ["route", "texts", "counts", "low", "high", "extra"]
 def _dealt(batches: Iterator[pa.RecordBatch], routes: int, keys: int, whole: bool) -> Iterator[pa.RecordBatch]:
     """Rows (rep, print, component) as blobs of index entries, some for each route.
 
-    Unless `whole`, of a posting that has over FEW texts in this block only the first FEW + 1 go to its route, and the
-    others' pairs with the first as a blob of pairs (counts is null).
+    Unless `whole`, of a posting's texts in this block only the first goes to its route, and the others' pairs with it go
+    as a blob of pairs (counts is null).
     """
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):
@@ -98,14 +101,12 @@ def _dealt(batches: Iterator[pa.RecordBatch], routes: int, keys: int, whole: boo
             if not whole:
                 order = np.argsort(h, kind="stable")
                 new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-                first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-                beyond = np.arange(len(h)) - first > FEW
-                if beyond.any():
-                    pairs = np.unique(np.stack([rep[text[order[first[beyond]]]], rep[text[order[beyond]]]]), axis=1)
-                    pairs = pairs[:, pairs[0] != pairs[1]]
-                    yield _blob(int(rep[0] % routes), pairs[0].tobytes(), None, pairs[1].tobytes(), b"", b"")
+                if not new.all():
+                    first = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))][~new]
+                    a, b = _least(rep[text[first]], rep[text[order[~new]]])
+                    yield _blob(int(rep[0] % routes), a.tobytes(), None, b.tobytes(), b"", b"")
                     stay = np.ones(len(h), bool)
-                    stay[order[beyond]] = False
+                    stay[order[~new]] = False
                     h, text = h[stay], text[stay]
             route = (h >> np.uint64(40)).astype(np.int64) % routes
             order = np.argsort(route, kind="stable")  # by text within a route
@@ -146,46 +147,37 @@ def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
                 yield route, np.frombuffer(texts, np.int64), np.frombuffer(counts, np.uint16), h, h, extra
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, many): the pairs to tally of a task's postings; many: of a posting of over FEW texts."""
-    h, rep, a, b, many = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], [], []
+def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of texts the smallest other one (or itself) that each text met, and that text."""
+    x, y = np.concatenate([np.minimum(a, b), np.minimum(a, b)]), np.concatenate([a, b])
+    order = np.lexsort((x, y))
+    x, y = x[order], y[order]
+    new = np.concatenate([[True], y[1:] != y[:-1]])[: len(y)]
+    return x[new], y[new]
 
-    def out(x: np.ndarray, y: np.ndarray, large: bool) -> None:
-        apart = x != y
-        a.append(np.minimum(x, y)[apart])
-        b.append(np.maximum(x, y)[apart])
-        many.append(np.full(len(a[-1]), large))
 
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): for each text b of a task's postings of several the smallest text a that is first in one of them, b itself perhaps."""
+    h, rep, a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for _, texts, counts, own, _, _ in _blobs(batches):
         if counts is None:
-            out(texts, own, True)
+            a.append(texts)
+            b.append(own)
         else:
             h.append(own)
             rep.append(np.repeat(texts, counts))
     reps = np.concatenate(rep)
     order, first, sizes = _postings(np.concatenate(h))
     reps = reps[order]
-    for size in range(2, FEW + 1):
-        at = first[sizes == size]
-        for i in range(size):
-            for j in range(i + 1, size):
-                out(reps[at + i], reps[at + j], False)
-    large = sizes > FEW
-    if large.any():
-        some, size = first[large], sizes[large]
-        member = np.repeat(some - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        least = np.minimum.reduceat(reps[member], np.cumsum(size) - size)
-        out(np.repeat(least, size), reps[member], True)
-    if a:
-        x, y, z = np.concatenate(a), np.concatenate(b), np.concatenate(many)
-        order = np.lexsort((~z, y, x))
-        x, y, z = x[order], y[order], z[order]
-        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(x)]
-        yield pa.RecordBatch.from_arrays([pa.array(v[new]) for v in (x, y, z)], ["a", "b", "many"])
-
-
-def _mixed(batches: Iterator[pa.RecordBatch], keys: int, shared: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """(a, b): retained pairs in different components of a task's postings of over FEW texts, each in the first posting it shares."""
+    if len(first):
+        a.append(np.repeat(np.minimum.reduceat(reps, first), sizes))
+        b.append(reps)
+    x, y = _least(np.concatenate(a), np.concatenate(b))
+    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+
+def _apart(batches: Iterator[pa.RecordBatch], keys: int, shared: int, bits: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b): retained pairs in different components of a task's postings, each in the first posting it shares; with `nearest` each text's with fewest differing bits."""
     hs, who, reps, labels, prints, n = [], [], [], [], [], 0
     for _, texts, counts, h, _, extra in _blobs(batches):
         hs.append(h)
@@ -202,24 +194,31 @@ def _mixed(batches: Iterator[pa.RecordBatch], keys: int, shared: int, bits: int)
     text, h, word = text[order], h[order], bytes_.view(np.uint64)
     four, own = choices(bytes_.shape[1] // 8, keys), h & np.uint64((1 << 40) - 1)
 
+    best = np.full(n, np.iinfo(np.int64).max)  # of each text the fewest differing bits, and with whom
+
     def retained(x: np.ndarray, y: np.ndarray, posting: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Of the pairs x, y of members of that posting; x and y are texts, posting places in h."""
         apart = np.flatnonzero(label[x] != label[y])
-        apart = apart[np.bitwise_count(word[x[apart]] ^ word[y[apart]]).sum(1, dtype=np.int64) <= bits]
-        apart = apart[tally(bytes_[x[apart]], bytes_[y[apart]]) >= shared]
-        if len(apart):
-            x, y = x[apart], y[apart]
+        differ = np.bitwise_count(word[x[apart]] ^ word[y[apart]]).sum(1, dtype=np.int64)
+        apart, differ = apart[differ <= bits], differ[differ <= bits]
+        enough = tally(bytes_[x[apart]], bytes_[y[apart]]) >= shared
+        apart, differ = apart[enough], differ[enough]
+        x, y = x[apart], y[apart]
+        if nearest:
+            np.minimum.at(best, x, differ << 40 | y)
+            np.minimum.at(best, y, differ << 40 | x)
+        elif len(x):
             first_shared = (bytes_[x] == bytes_[y])[:, four].all(2).argmax(1)
             met = entries(bytes_[x], bytes_.shape[1] // 8, keys)[np.arange(len(x)), first_shared] & np.uint64((1 << 40) - 1)
             x, y = (rep[v[met == own[posting[apart]]]] for v in (x, y))
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.zeros(len(x), np.int64))], ["a", "b", "differ"])
 
-    for size in np.unique(sizes[sizes > FEW]).tolist():
+    for size in np.unique(sizes).tolist():
         at = first[sizes == size]
         if size <= 64:  # many small postings at a time
             i, j = np.triu_indices(size, 1)
-            for k in range(0, len(at), step := max(1, (1 << 15) // len(i))):
+            for k in range(0, len(at), step := max(1, _PAIRS // len(i))):
                 some = at[k : k + step, None]
                 yield from retained(text[(some + i).ravel()], text[(some + j).ravel()], np.repeat(some[:, 0], len(i)))
         else:
@@ -228,9 +227,13 @@ def _mixed(batches: Iterator[pa.RecordBatch], keys: int, shared: int, bits: int)
                 named, number = np.unique(label[member], return_inverse=True)
                 if len(named) > 1:
                     outside = member[number != np.bincount(number).argmax()]
-                    for row in range(0, len(outside), step := max(1, (1 << 15) // size)):
+                    for row in range(0, len(outside), step := max(1, _PAIRS // size)):
                         x, y = (v.ravel() for v in np.meshgrid(outside[row : row + step], member, indexing="ij"))
                         yield from retained(x, y, np.full(len(x), k))
+    if nearest and len(found := np.flatnonzero(best < np.iinfo(np.int64).max)):
+        # in each table a text has places of its own for each blob: the best of all is taken later
+        x, y = rep[found], rep[best[found] & (1 << 40) - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(best[found] >> 40)], ["a", "b", "differ"])
 
 
 def _index(texts: DataFrame, count: int, keys: int, whole: bool) -> DataFrame:
@@ -275,38 +278,36 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b")
 
 
-def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    for end in ("a", "b"):
-        pairs = pairs.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-    return pairs.where("of_a <> of_b").select("a", "b")
-
-
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, size: int = WORDS, keys: int = KEYS, shared: int = SHARED, bits: int = BITS) -> DataFrame:
     """(key, component_id) of every row with a key: the smallest key reachable over pairs of that similarity."""
     docs = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).where("key is not null")
     found = written(_prints(docs, words, size), "prints")
     same = written(found.groupBy("digest", "print").agg(F.min("key").alias("rep")), "sets")
-    texts = same.where("print is not null").withColumn("component", F.col("rep"))
-    pairs = map_batches(_index(texts, same.count(), keys, False), _pairs, "a long, b long, many boolean")
-    pairs = written(pairs.groupBy("a", "b").agg(F.max("many").alias("many")), "pairs")
-
-    near = written(_tallied(pairs, texts, shared, bits), "tallied")
-    names = written(near.select(F.explode(F.array("a", "b")).alias("rep")).union(pairs.where("many").select(F.explode(F.array("a", "b")).alias("rep"))).distinct(), "members")
-    few = docs.join(names, docs["key"] == names["rep"], "left_semi").select(F.col("key").alias("rep"), "text")
+    texts = same.where("print is not null")
+    met = map_batches(_index(texts.withColumn("component", F.col("rep")), same.count(), keys, False), _meetings, "a long, b long")
+    met = written(met.groupBy("b").agg(F.min("a").alias("a")), "met")
+    active = written(texts.select("rep", "print").join(met.select(F.col("b").alias("rep")), "rep"), "active")
+    few = docs.join(met.select("b"), F.col("key") == F.col("b"), "left_semi").select(F.col("key").alias("rep"), "text")
     sets = written(_sets(few, words).distinct(), "shingles")
-
-    ends = near.select(F.explode(F.array("a", "b")).alias("end"), "a", "b", "differ")
-    nearest = ends.groupBy("end").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    first = written(_alike(nearest, sets, least), "links")
-    links = written(first.union(_alike(_apart(near, components(first)), sets, least)), "links")
-    joined = components(links)
-
-    many = pairs.where("many").select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    active = written(texts.select("rep", "print").join(many, "rep", "left_semi").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "active")
-    rest = map_batches(_index(active, active.count(), keys, True), lambda batches: _mixed(batches, keys, shared, bits), "a long, b long")
-    joined = components(links.union(_alike(written(rest.distinct(), "pairs"), sets, least)))
-
+    count = active.count()
+
+    def labelled(joined: DataFrame) -> DataFrame:
+        return written(active.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
+
+    def meeting(now: DataFrame, nearest: bool) -> DataFrame:
+        return map_batches(_index(now, count, keys, True), lambda batches: _apart(batches, keys, shared, bits, nearest), "a long, b long, differ long")
+
+    links = written(_alike(written(_tallied(met.where("a < b"), active, shared, bits), "pairs").select("a", "b"), sets, least), "links")
+    now = labelled(components(links))
+    nearest = meeting(now, True).groupBy("a").agg(F.min(F.struct("differ", "b")).alias("p")).select(F.least("a", "p.b").alias("a"), F.greatest("a", "p.b").alias("b")).distinct()
+    links = written(links.union(_alike(written(nearest, "pairs"), sets, least)), "links")
+    drop_written(now)
+    now = labelled(components(links))
+    rest = written(meeting(now, False).select("a", "b").distinct(), "pairs")
+    drop_written(now)
+    joined = components(written(links.union(_alike(rest, sets, least)), "links"))
+    for table in (met, active, sets, rest):
+        drop_written(table)
     own = found.join(same.select("digest", "rep"), "digest").select("key", "rep")
     return own.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
 
