@@ -6,62 +6,54 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.grammar import Grammar
-from ..sources.tables import local_table, new_path, remove, write_counted
+from ..sources.tables import drop_written, local_table, new_path, written
 from .graph import EDGE, LabeledGraph
 from .rules import apply_binary, apply_unit, epsilon_edges, merge_edges, new_edges
 
 SCHEMA = "src long, label string, dst long"
-#: Tables that the known edges may be spread over before the smaller ones are made one.
-SEGMENTS = 8
 
 
 class _Known:
-    """The edges known so far: one Parquet table for each pass, in the shared folder. A pass adds one and rewrites none.
+    """The edges known so far: a table in the shared folder, bucketed by the whole edge, with a folder for each pass.
 
-    Every SEGMENTS tables, those since the largest are made one, so that their number grows with the logarithm of the
-    edges and no edge is rewritten more often than that.
+    A pass appends its new edges and rewrites none. What a pass finds is dealt by the whole edge to be made distinct, so
+    it meets the known edges bucket by bucket: they are not shuffled to be left out, and no vertex makes a bucket large.
+    Within files edges stand by label and source, so that reads of some labels skip pages of others.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.tables = spark, []
+        self.spark, self.path = spark, new_path(spark, "edges")
+        self.name = "edges_" + self.path.rpartition("-")[2]
+        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.last = -1
 
     def add(self, df: DataFrame) -> int:
-        path = new_path(self.spark, "edges")
-        n = write_counted(df.select(*EDGE), path)
-        if n:
-            self.tables.append((n, path))
-        else:
-            remove(self.spark, path)
-        return n
-
-    def read(self, tables: list[tuple[int, str]]) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(*(p for _, p in tables)) if tables else local_table(self.spark, [], SCHEMA)
+        """Append a pass's edges, all different and new; gives their number."""
+        self.last += 1
+        seen = Observation()
+        rows = df.select(*EDGE).observe(seen, F.count(F.lit(1)).alias("n")).withColumn("pass", F.lit(self.last))
+        rows.write.format("parquet").mode("append").option("path", self.path).partitionBy("pass").bucketBy(self.buckets, *EDGE).sortBy("label", "src").saveAsTable(self.name)
+        return seen.get["n"]
 
     def all(self) -> DataFrame:
-        return self.read(self.tables)
+        return self.spark.table(self.name).select(*EDGE)
 
-    def last(self) -> DataFrame:
-        return self.read(self.tables[-1:])
+    def fresh(self) -> DataFrame:
+        return self.spark.table(self.name).where(F.col("pass") == self.last).select(*EDGE)
 
     def before(self) -> DataFrame:
-        return self.read(self.tables[:-1])
+        return self.spark.table(self.name).where(F.col("pass") < self.last).select(*EDGE)
 
-    def compact(self, pinned: int) -> None:
-        """Make one of the tables before the last; the first `pinned` stay, and no plan that reads others is still to run."""
-        if len(self.tables) - pinned <= SEGMENTS:
-            return
-        largest = max(range(pinned, len(self.tables) - 1), key=lambda k: self.tables[k][0])
-        some = self.tables[largest + 1 : -1] if largest < len(self.tables) - 3 else self.tables[pinned:-1]
-        path = new_path(self.spark, "edges")
-        n = write_counted(self.read(some), path)
-        at = self.tables.index(some[0])
-        self.tables[at : at + len(some)] = [(n, path)]
-        for _, old in some:
-            remove(self.spark, old)
+    def first(self) -> DataFrame:
+        return self.spark.table(self.name).where(F.col("pass") == 0).select(*EDGE)
+
+    def forget(self) -> None:
+        """Take the table's name out of the catalog; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 @dataclass
@@ -94,7 +86,7 @@ def closure(
     mode: "full", or "dataflow" for grammars without unit rules whose right operands are never derived; there the new
     edges alone are joined, with the graph's own. It raises ValueError for other grammars, as it would lose edges.
     wanted: labels of which all edges are needed; rules that cannot matter to them are left out.
-    rewrite: take the form with fewer passes of rules like P ::= P x (the same edges).
+    rewrite: close P ::= P x over labels x that are given or closed before by doubling (the same edges, fewer passes).
     max_passes, max_edges: RuntimeError beyond that.
     """
     if mode not in ("full", "dataflow"):
@@ -103,34 +95,80 @@ def closure(
         grammar = grammar.sliced(wanted)
     if mode == "dataflow" and (faults := grammar.dataflow_faults()):
         raise ValueError("dataflow mode would lose edges: " + "; ".join(faults))
-    if mode == "full" and rewrite:
-        grammar = grammar.doubled()
     spark = graph.edges.sparkSession
     known, passes, total = _Known(spark), [], 0
-    heads = sorted(grammar.nonterminals)
-    began = time.perf_counter()
-    start = merge_edges(graph.edges, epsilon_edges(graph.vertices, grammar.epsilon)) if grammar.epsilon else graph.edges.select(*EDGE).distinct()
-    new = known.add(start)
-    static = known.all().where(F.col("label").isin([r.rhs2 for r in grammar.binary])) if mode == "dataflow" else None
-    while True:
+
+    def counted(new: int, began: float) -> None:
+        nonlocal total
         total += new
         passes.append((len(passes), new, total, time.perf_counter() - began))
         if on_pass:
             on_pass(*passes[-1][:3])
         if max_edges is not None and total > max_edges:
             raise RuntimeError(f"{total} edges, more than max_edges")
-        if not new or not (grammar.unit or grammar.binary):
-            return ClosureResult(known.all(), passes)
-        if max_passes is not None and len(passes) > max_passes:
+        if new and max_passes is not None and len(passes) > max_passes:
             raise RuntimeError(f"not closed after {max_passes} passes")
+
+    try:
+        began = time.perf_counter()
+        start = merge_edges(graph.edges, epsilon_edges(graph.vertices, grammar.epsilon)) if grammar.epsilon else graph.edges.select(*EDGE).distinct()
+        counted(known.add(start.repartition(known.buckets, *EDGE)), began)
+        if mode == "full" and rewrite:
+            while (chain := grammar.chain()) is not None:
+                _powers(known, chain, counted)
+                grammar = grammar.without(chain[0])
+        _closed(known, grammar, mode, counted)
+    finally:
+        known.forget()
+    return ClosureResult(spark.read.schema(SCHEMA + ", pass int").parquet(known.path).select(*EDGE), passes)
+
+
+def _closed(known: _Known, grammar: Grammar, mode: str, counted: Callable[[int, float], None]) -> None:
+    """Passes over all rules until one adds nothing. The first joins all that is known."""
+    heads = sorted(grammar.nonterminals)
+    whole = True
+    while grammar.unit or grammar.binary:
         began = time.perf_counter()
-        known.compact(0 if static is None else 1)
-        fresh = known.last()
-        if static is not None:
-            found = apply_binary(fresh, static, grammar.binary)
+        fresh = known.all() if whole else known.fresh()
+        if mode == "dataflow":
+            found = apply_binary(fresh, known.first(), grammar.binary)
+        elif whole:
+            found = apply_binary(fresh, fresh, grammar.binary)
         else:
             found = apply_binary(fresh, known.all(), grammar.binary).union(apply_binary(known.before(), fresh, grammar.binary))
-            if grammar.unit:
-                found = found.union(apply_unit(fresh, grammar.unit))
+        if mode != "dataflow" and grammar.unit:
+            found = found.union(apply_unit(fresh, grammar.unit))
         # only derived labels can come again
         new = known.add(new_edges(found, known.all().where(F.col("label").isin(heads))))
+        whole = False
+        counted(new, began)
+        if not new:
+            return
+
+
+def _powers(known: _Known, chain: tuple[str, str, bool], counted: Callable[[int, float], None]) -> None:
+    """All edges of P ::= x and P ::= P x (or x P), x being closed: paths of up to 2^k steps go on by those of just 2^k.
+
+    Every path but the first is made once from each way to it, so a chain of n edges takes n^2 / 2 candidates in log n
+    passes; P ::= P P would make each path from all its middles.
+    """
+    head, step, onward = chain
+    own = lambda: known.all().where(F.col("label") == head)
+    power = written(known.all().where(F.col("label") == step).select("src", "dst"), "power")
+    began = time.perf_counter()
+    counted(known.add(new_edges(power.select("src", F.lit(head).alias("label"), "dst"), own())), began)
+    new = 1
+    while new:
+        began = time.perf_counter()
+        more = power.select(F.col("src").alias("y"), F.col("dst").alias("z"))
+        if onward:
+            found = own().join(more, F.col("dst") == F.col("y")).select("src", "label", F.col("z").alias("dst"))
+        else:
+            found = own().join(more, F.col("src") == F.col("z")).select(F.col("y").alias("src"), "label", "dst")
+        new = known.add(new_edges(found, own()))
+        counted(new, began)
+        if new:
+            longer = written(power.join(more, F.col("dst") == F.col("y")).select("src", F.col("z").alias("dst")).distinct(), "power")
+            drop_written(power)
+            power = longer
+    drop_written(power)

@@ -95,23 +95,23 @@ class Grammar:
             more = {x for r in self.rules if r.lhs in need for x in (r.rhs1, r.rhs2) if x is not None} - need
         return Grammar(r for r in self.rules if r.lhs in need)
 
-    def doubled(self) -> Grammar:
-        """The same language with P ::= P P for P ::= P x (or x P), wherever P has just that rule and P ::= x or P ::= .
+    def chain(self) -> tuple[str, str, bool] | None:
+        """(P, x, whether x comes last) for a P whose only rules are P ::= P x (or x P) and P ::= x or P ::= , x being the head of no rule left.
 
-        With P ::= x both derive one x or more; with P ::= any number of x, for which P ::= x joins the rules. The
-        closure of the new form takes a number of passes that grows with the logarithm of a path's length, not with the
-        length.
+        With P ::= x both derive one x or more; with P ::= any number of x. None if there is no such P.
         """
-        out = []
         for r in self.rules:
             own = [q for q in self.rules if q.lhs == r.lhs]
-            step = next((q for q in own if q.rhs2 is not None and (q.rhs1 == q.lhs) != (q.rhs2 == q.lhs)), None)
-            one = Rule(r.lhs, step.rhs2 if step.rhs1 == r.lhs else step.rhs1) if step else None
-            if r == step and len(own) == 2 and (one in own or Rule(r.lhs) in own):
-                out += [one, Rule(r.lhs, r.lhs, r.lhs)]
-            else:
-                out.append(r)
-        return Grammar(out)
+            if r.rhs2 is None or (r.rhs1 == r.lhs) == (r.rhs2 == r.lhs) or len(own) != 2:
+                continue
+            x = r.rhs2 if r.rhs1 == r.lhs else r.rhs1
+            if x not in self.nonterminals and (Rule(r.lhs, x) in own or Rule(r.lhs) in own):
+                return r.lhs, x, r.rhs1 == r.lhs
+        return None
+
+    def without(self, head: str) -> Grammar:
+        """The rules of other heads."""
+        return Grammar(r for r in self.rules if r.lhs != head)
 
 
 def normalized(lhs: str, *rhs: str) -> list[Rule]:

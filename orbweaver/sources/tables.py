@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where none is set and there is one machine (tests).
+
+    RuntimeError on a cluster without the setting, where each executor would write to a disk of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='orbweaver-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -31,14 +36,20 @@ def local_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> Data
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables in the shared one."""
+    return f"{shared_dir(spark)}/orbweaver-{spark.sparkContext.applicationId}"
+
 
+def drop_all(spark: SparkSession) -> None:
+    """Remove every table that this application has left in the shared folder.
 
-def write_counted(df: DataFrame, path: str) -> int:
-    """Write df as Parquet and give its number of rows, counted on the way."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return seen.get["n"]
+    Results read such tables, so that they survive lost executors: save what is still wanted first.
+    """
+    remove(spark, own_dir(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

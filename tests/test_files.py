@@ -52,3 +52,29 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["--grammar", f"{tmp_path}/r.txt", "--graph", f"{tmp_path}/g.txt", "--out", f"{tmp_path}/out"]) == 0
     assert "edges: 5" in capsys.readouterr().out
     assert read_edges(spark, f"{tmp_path}/out").count() == 5
+
+
+def test_tables_go_and_a_cluster_needs_a_shared_folder(spark, monkeypatch, tmp_path):
+    from orbweaver.sources import tables
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app-1"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        tables.shared_dir(Session())
+    Session.conf["spark.checkpoint.dir"] = f"file://{tmp_path}"
+    assert tables.shared_dir(Session()) == f"file://{tmp_path}"
+    for master in ("local[4]", "local", "local[*]"):
+        Context.master, Session.conf = master, Conf()
+        assert tables.shared_dir(Session()).startswith("file://")
+    monkeypatch.setattr(tables, "own_dir", lambda _: f"file://{tmp_path}/own")
+    kept = tables.written(spark.range(3), "some")
+    assert kept.count() == 3 and (tmp_path / "own").exists()
+    tables.drop_all(spark)
+    assert not (tmp_path / "own").exists()

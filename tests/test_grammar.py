@@ -36,13 +36,13 @@ def test_sliced_keeps_what_can_matter():
     assert g.sliced(["A"]).rules == (Rule("A", "B", "c"), Rule("B", "d"))
 
 
-def test_doubled_only_where_the_language_is_the_same():
-    assert Rule("P", "P", "P") in Grammar.of("P ::= n", "P ::= P n").doubled().rules
-    assert Rule("P", "P", "P") in Grammar.of("P ::= n", "P ::= n P").doubled().rules
-    star = {Rule("P"), Rule("P", "n"), Rule("P", "P", "P")}
-    assert set(Grammar.of("P ::=", "P ::= P n").doubled().rules) == set(Grammar.of("P ::=", "P ::= n P").doubled().rules) == star
-    for other in (("P ::= n", "P ::= P m"), ("P ::= n", "P ::= P n", "P ::= m"), ("P ::=", "P ::= P n", "P ::= m"), ("P ::= n", "P ::= P P"), ("P ::= P n",)):
-        assert Grammar.of(*other).doubled().rules == Grammar.of(*other).rules
+def test_chains_are_found_where_steps_are_closed():
+    assert Grammar.of("P ::= n", "P ::= P n").chain() == Grammar.of("P ::=", "P ::= P n").chain() == ("P", "n", True)
+    assert Grammar.of("P ::= n", "P ::= n P").chain() == ("P", "n", False)
+    two = Grammar.of("Q ::= P", "Q ::= Q P", "P ::= n", "P ::= P n")
+    assert two.chain() == ("P", "n", True) and two.without("P").chain() == ("Q", "P", True) and two.without("P").without("Q").chain() is None
+    for other in (("P ::= n", "P ::= P m"), ("P ::= n", "P ::= P n", "P ::= m"), ("P ::=", "P ::= P n", "n ::= P"), ("P ::= n", "P ::= P P"), ("P ::= P n",)):
+        assert Grammar.of(*other).chain() is None
 
 
 def test_normalized():
