@@ -67,4 +67,6 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+ORACLES["op10_license_diagonals"] = license_scan.oracle()
+
 QUERIES |= {f.__name__: f for f in (op1_feistel_pseudonyms, op2_ranked_vbyte, op3_pivot_range_join, op4_site_line_frequency, op5_hash_prefix_forest, op6_segment_tree_bpe, op7_block_mixing, op8_string_kernel_lang, op9_simhash_positional, op10_license_diagonals)}

@@ -54,3 +54,19 @@ def test_diagonals_against_brute_force(spark):
 def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "mit license"), (1, "mit license"), (None, "x")], "doc_id long, text string")
     assert license_scan.scan(df).count() == 3 and license_scan.scan(df.limit(0)).count() == 0
+
+
+def test_against_sql(spark):
+    """All columns, over documents with base phrases, whole and edited templates, null texts and repeated rows."""
+    import duckdb
+    import pandas as pd
+
+    w = MIT.split()
+    texts = [None, "", "mit license cc by", f"intro {MIT} and {GPL} {GPL}", " ".join([*w[:10], "really", "inserted", *w[10:25], *w[27:]]), "Released under the MIT License. " * 4, "É mit license", *license_scan.TEMPLATES.values()]
+    rows = [(k, t) for k, t in enumerate(texts)] * 2 + [(None, "mit license"), (3, "mit license")]
+    got = [tuple(r) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame({"doc_id": pd.array([k for k, _ in rows], "Int64"), "text": [t for _, t in rows]}))
+    con.sql("CREATE TABLE documents AS SELECT * FROM given")
+    assert sorted(got, key=str) == sorted(con.sql(license_scan.oracle()).fetchall(), key=str)
+    assert license_scan.TEMPLATES.keys() <= {x for r in got for x in r[6].split(",")}
