@@ -1,7 +1,8 @@
 """Embedding near-dedup: an exact metric range join by pivots.
 
 Vectors of equal direction and length are made one first. On the unit sphere a cosine of at least c is a distance of at
-most e = sqrt(2 - 2c). Pivots are vectors taken by hash; every vector lives in the cell of its nearest pivot. By the
+most e = sqrt(2 - 2c). Pivots are vectors of a sample by hash, each the farthest from those before it, so that clusters get
+pivots of their own; every vector lives in the cell of its nearest pivot. By the
 triangle inequality a vector v can only have a link into another cell j if d(v, pivot j) - d(v, own pivot) <= 2e and
 d(v, pivot j) <= radius of j + e; it is also sent there, to cells of lower number only, so that a pair of two cells meets
 once. The distance of v to the plane between the two pivots, which the same inequality bounds, tightens this further.
@@ -9,9 +10,11 @@ Cells are joined independently: as products of blocks of BLOCK vectors, each a t
 large for one task. Of its links a block passes on the number for each vector and a spanning forest, never the pairs.
 
 Cosines are computed in double precision from the vectors as they are; those within 1e-9 of the threshold are computed
-again one by one. The result is exact whatever the pivots: they decide the work alone. There are as many pivots as cells
-of CELL vectors need, PIVOTS at most (beyond that cells grow, and with them the blocks of each), so that what is
-broadcast is bounded. In data without any clusters few cells can be left out, and the join is all blocks against all.
+again one by one. The result is exact whatever the pivots: they decide the work alone. Cells are meant to have the least
+of CELLS vectors with which the sample's vectors go to SENT cells on average, or else the most: in clustered data many
+small cells, in data without clusters, where few can be left out, few large ones, and the join is all blocks against all.
+There are PIVOTS pivots at most (beyond that cells grow, and with them the blocks of each), so that what is broadcast is
+bounded. Vectors of a length that few have need no pivots; those of all such lengths are joined in one plan.
 
 A vector that is null, empty or zero, or holds null, NaN or infinity, links with nothing; so do vectors of different
 lengths with each other. Rows with equal ids are rows of their own, and their links count for the id. A null id has
@@ -30,8 +33,12 @@ from pyspark.sql import functions as F
 from .graph import components, forest
 from .runtime import local_table, map_batches, ship, written
 
-#: Vectors that a cell is meant to have, vectors of a block, and pivots at most.
-CELL, BLOCK, PIVOTS = 8192, 4096, 1024
+#: Vectors that a cell is meant to have, cells that a vector may go to for it, and pivots at most.
+CELLS, SENT, PIVOTS = (512, 2048, 8192), 4.0, 1024
+#: Vectors of a block at most, and numbers of its vectors.
+BLOCK, BLOCK_NUMBERS = 16384, 1 << 21
+#: Vectors that pivots are taken from, at most.
+SAMPLE = 4096
 
 _VALID = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
 
@@ -56,37 +63,55 @@ def distinct(df: DataFrame, key: str = "vec_id", embedding: str = "embedding") -
     return rows, written(usable.groupBy("embedding").agg(F.min("key").alias("rep"), F.count("*").alias("n")).withColumn("v", F.xxhash64("embedding")), "vectors")
 
 
-def _pivots(vectors: DataFrame, size: int, count: int, cell: int, most: int) -> np.ndarray:
-    """Unit vectors of one length, those of smallest hash."""
-    n = max(1, min(most, -(-count // cell)))
-    share = min(1.0, 4 * n / count + 100 / count)
+def _goes(far: np.ndarray, between: np.ndarray, radius: np.ndarray, distance: float) -> np.ndarray:
+    """Which cells each vector goes to, from its distances to the pivots, theirs to each other and the cells' radii."""
+    own, each = far.argmin(1), np.arange(len(far))
+    near = far[each, own]
+    slack = 1e-7  # more than rounding can add
+    go = (far - near[:, None] <= 2 * distance + slack) & (far <= radius + distance + slack) & (np.arange(far.shape[1]) < own[:, None])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (far**2 - near[:, None] ** 2) / (2 * between[own])
+    # between pivots of nearly one direction the plane is a matter of rounding
+    go &= ~((plane > distance + slack) & (between[own] > 1e-3))
+    go[each, own] = True
+    return go
+
+
+def _far(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * x @ pivots.T))
+
+
+def _pivots(vectors: DataFrame, size: int, count: int, cells: tuple[int, ...], most: int, distance: float) -> np.ndarray:
+    """Unit vectors of one length: as many as the cell size asks for that suits a sample."""
+    share = min(1.0, 2 * SAMPLE / count)
     few = vectors.where((F.size("embedding") == size) & (F.pmod(F.col("v"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
-    return _unit(np.array([r["embedding"] for r in few.orderBy("v", "rep").limit(n).collect()], np.float64))
+    sample = _unit(np.array([r["embedding"] for r in few.orderBy("v", "rep").limit(SAMPLE).collect()], np.float64))
+    wanted = [max(1, min(most, -(-count // c), len(sample))) for c in cells]
+    chosen, nearest = [0], _far(sample, sample[:1])[:, 0]
+    while len(chosen) < wanted[0]:
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, _far(sample, sample[chosen[-1:]])[:, 0])
+    for n in wanted:  # the first n are what n alone would be
+        points = sample[chosen[:n]]
+        far = _far(sample, points)
+        own = far.argmin(1)
+        radius = np.full(n, -1.0)
+        np.maximum.at(radius, own, far[np.arange(len(far)), own])
+        if n == wanted[-1] or _goes(far, _far(points, points), radius, distance).sum(1).mean() <= SENT:
+            return points
 
 
 def _dealt(vectors: DataFrame, size: int, pivots: np.ndarray, distance: float, radius: np.ndarray | None) -> DataFrame:
     """A row for each vector and cell it goes to: cell, inner (it lives there), and its distance there. radius: of the cells; without it only own cells."""
-    between = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+    between = _far(pivots, pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _unit(_matrix(batch.column(0)))
-            far = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots.T))
+            far = _far(_unit(_matrix(batch.column(0))), pivots)
             own = far.argmin(1)
-            near = far[np.arange(len(x)), own]
-            if radius is None:
-                rows, cells = np.arange(len(x)), own
-            else:
-                slack = 1e-7  # more than rounding can add
-                go = (far - near[:, None] <= 2 * distance + slack) & (far <= radius + distance + slack) & (np.arange(len(pivots)) < own[:, None])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (far**2 - near[:, None] ** 2) / (2 * between[own])
-                # between pivots of nearly one direction the plane is a matter of rounding
-                go &= ~((plane > distance + slack) & (between[own] > 1e-3))
-                go[np.arange(len(x)), own] = True
-                rows, cells = np.nonzero(go)
+            rows, cells = (np.arange(len(far)), own) if radius is None else np.nonzero(_goes(far, between, radius, distance))
             columns = [pa.array(cells.astype(np.int32)), pa.array(cells == own[rows]), pa.array(far[rows, cells])]
             yield pa.RecordBatch.from_arrays([*columns, *(c.take(pa.array(rows)) for c in batch.columns[1:]), *([batch.column(0).take(pa.array(rows))] if radius is not None else [])], names)
 
@@ -143,36 +168,40 @@ def _product(table: pa.Table, least: float, same: bool) -> pa.Table:
     return pa.table({"rep": pa.array(rep[linked]), "links": pa.array(links[linked]), "to": pa.array(rep[parent[linked]] if len(linked) else np.zeros(0, np.int64))})
 
 
-def near_links(vectors: DataFrame, least: float, cell: int = CELL, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+def near_links(vectors: DataFrame, least: float, cells: tuple[int, ...] = CELLS, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """(rep, links, to) from all products of blocks: links add up over products; rep and to are linked or equal."""
-    spark = vectors.sparkSession
-    ship(spark)
+    ship(vectors.sparkSession)
     distance = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    out = None
-    for r in sorted(vectors.groupBy(F.size("embedding").alias("size")).count().collect(), key=lambda r: r["size"]):
-        points = _pivots(vectors, r["size"], r["count"], cell, pivots)
+
+    def joined(key: tuple, table: pa.Table) -> pa.Table:
+        return _product(table, least, key[1].as_py() == key[2].as_py())
+
+    sized = vectors.withColumn("size", F.size("embedding"))
+    sizes = written(sized.groupBy("size").agg(F.count("*").alias("count")), "sizes")
+    # a cell, and a block, for each length that few have
+    few = sizes.where(F.col("count") <= cells[-1]).select("size")
+    small = sized.join(few, "size").select(F.col("size").alias("cell"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(0).alias("side"), "rep", "n", "embedding")
+    out = small.groupBy("cell", "left", "right").applyInArrow(joined, "rep long, links long, to long")
+    for r in sizes.where(F.col("count") > cells[-1]).orderBy("size").collect():
+        points = _pivots(vectors, r["size"], r["count"], cells, pivots, distance)
         radius = np.full(len(points), -1.0)
         if len(points) > 1:
             for c in _dealt(vectors, r["size"], points, distance, None).groupBy("cell").agg(F.max("far").alias("far")).collect():
                 radius[c["cell"]] = c["far"]
-        dealt = written(_dealt(vectors, r["size"], points, distance, np.maximum(radius, -1.0)), "cells")
+        dealt = written(_dealt(vectors, r["size"], points, distance, radius), "cells")
         counts = {(c["cell"], c["inner"]): c["count"] for c in dealt.groupBy("cell", "inner").count().collect()}
-
-        def joined(key: tuple, table: pa.Table) -> pa.Table:
-            return _product(table, least, key[1].as_py() == key[2].as_py())
-
-        links = _blocked(dealt, counts, block).groupBy("cell", "left", "right").applyInArrow(joined, "rep long, links long, to long")
-        out = links if out is None else out.union(links)
-    return out if out is not None else local_table(spark, [], "rep long, links long, to long")
+        own = max(1, min(block, BLOCK_NUMBERS // r["size"]))
+        out = out.union(_blocked(dealt, counts, own).groupBy("cell", "left", "right").applyInArrow(joined, "rep long, links long, to long"))
+    return out
 
 
-def dedup(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", least: float = 0.95, cell: int = CELL, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+def dedup(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", least: float = 0.95, cells: tuple[int, ...] = CELLS, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """Per row: key, n_links (other vectors linked directly), component_id (smallest key reachable), kept (it is that key)."""
     rows, vectors = distinct(df, key, embedding)
     # a vector without any key still has links to count: it stands under a number of its own
     named = vectors.withColumn("rep", F.coalesce("rep", F.monotonically_increasing_id() - F.lit(1 << 62)))
     named = written(named, "named")
-    links = written(near_links(named, least, cell, block, pivots), "links")
+    links = written(near_links(named, least, cells, block, pivots), "links")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(links.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     groups = named.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")

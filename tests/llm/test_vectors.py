@@ -42,10 +42,10 @@ def plain_links(rows, least):
     return {(k, out[k], low[k], low[k] == k) for k, _ in rows}
 
 
-@pytest.mark.parametrize(("cell", "block"), [(8192, 4096), (60, 25)])
-def test_links(spark, cell, block):
+@pytest.mark.parametrize(("cells", "block"), [(embed_dedup.CELLS, 4096), ((60,), 25), ((20, 60, 300), 40)])
+def test_links(spark, cells, block):
     rows = clustered(700, [0, 0.05, 0.4]) + ODD
-    got = [tuple(r) for r in embed_dedup.dedup(frame(spark, rows), cell=cell, block=block).collect()]
+    got = [tuple(r) for r in embed_dedup.dedup(frame(spark, rows), cells=cells, block=block).collect()]
     assert len(got) == len(rows) and set(got) == plain_links(rows, 0.95)
 
 
@@ -60,10 +60,10 @@ def test_sql_says_the_same(tmp_path, spark):
 def test_cells_prune_and_lose_nothing(spark):
     rows = clustered(600, [0.01], size=3, centres=60)
     rows_, vectors = embed_dedup.distinct(frame(spark, rows))
-    points = embed_dedup._pivots(vectors, 3, vectors.count(), 30, 1024)
+    points = embed_dedup._pivots(vectors, 3, vectors.count(), (30,), 1024, 0.1)
     dealt = embed_dedup._dealt(vectors, 3, points, 0.1, np.full(len(points), 2.0))
     assert len(points) > 10 and dealt.count() < 0.3 * vectors.count() * len(points)
-    assert {tuple(r) for r in embed_dedup.dedup(frame(spark, rows), least=0.995, cell=30, block=10).collect()} == plain_links(rows, 0.995)
+    assert {tuple(r) for r in embed_dedup.dedup(frame(spark, rows), least=0.995, cells=(30,), block=10).collect()} == plain_links(rows, 0.995)
 
 
 def test_parallel_pivots_lose_no_links(spark):
