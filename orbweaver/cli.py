@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from .operators.closure import closure
 from .sources.files import read_grammar, read_graph, write_edges
+from .sources.tables import drop_all
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -25,6 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     result = closure(graph, grammar, "dataflow" if args.filter else "full", on_pass=lambda k, new, total: print(f"pass {k}: {new} new edges, {total} in all", flush=True))
     if args.out:
         write_edges(result.edges, args.out)
+    drop_all(spark)
     print(f"edges: {result.count}; passes: {len(result.passes)}; seconds: {sum(p[3] for p in result.passes):.1f}")
     return 0
 

@@ -12,10 +12,11 @@ from ..operators.closure import closure
 from ..operators.graph import LabeledGraph
 from ..operators.rules import apply_binary, apply_unit, epsilon_edges, merge_edges, new_edges
 from ..operators.statistics import degrees, edge_count, interval_plan, label_counts, next_pair, pair_weights, vertex_intervals
-from ..sources.files import adjacency, edges_of, within
+from ..sources.files import adjacency, edges_of, read_edges, read_grammar, read_graph, within, write_edges, write_grammar, write_graph
+from ..sources.tables import local_table, new_path
 from .grammar import Grammar, Rule
 
-#: A points-to grammar: memory aliases (M) and value aliases (V) over dereferences (d) and assignments (a).
+#: The usual points-to grammar, memory aliases (M) and value aliases (V) over dereferences (d) and assignments (a).
 POINTS_TO = Grammar.of(
     "M ::= DV d", "DV ::= -d V", "V ::= MAM AMs", "MAM ::= MAs Mq", "Mq ::=", "Mq ::= M",
     "MAs ::=", "MAs ::= MAs MA", "MA ::= Mq -a", "AMs ::=", "AMs ::= AMs AM", "AM ::= a Mq",
@@ -173,7 +174,7 @@ def final_edge_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adjacency_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adjacency(alias_edges(spark, sf_dir)).select("src", "label", F.array_join("targets", ",").alias("targets"))
+    return adjacency(alias_edges(spark, sf_dir)).select("src", "label", "base", F.array_join("targets", ",").alias("targets"))
 
 
 def adjacency_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,6 +203,43 @@ def degree_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return degrees(old.withColumn("region", F.lit("old")).union(delta.withColumn("region", F.lit("delta"))), "region")
 
 
+def grammar_file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of a grammar file that is written and read back."""
+    path = new_path(spark, "grammar")
+    write_grammar(spark, POINTS_TO, path)
+    rules = [(n, r.lhs, r.rhs1, r.rhs2) for n, r in enumerate(read_grammar(spark, path).rules)]
+    return local_table(spark, rules, "rule int, lhs string, rhs1 string, rhs2 string")
+
+
+def rule_label_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many labels the rules of a grammar name."""
+    names = grammar_file_rules(spark, sf_dir).select(F.explode(F.array("lhs", "rhs1", "rhs2")).alias("label")).where("label is not null")
+    return names.agg(F.count_distinct("label").alias("n_labels"))
+
+
+def graph_file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of a graph file, written by ascending source and read back."""
+    path = new_path(spark, "graph")
+    write_graph(LabeledGraph.from_dataframe(alias_edges(spark, sf_dir)), path)
+    return read_graph(spark, path).edges
+
+
+def graph_file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of edges and vertices that a graph file says in its first line."""
+    path = new_path(spark, "graph")
+    edges = LabeledGraph.from_dataframe(place_edges(spark, sf_dir))
+    write_graph(edges, path)
+    found = read_graph(spark, path)
+    return found.edges.agg(F.count("*").alias("n_edges")).withColumn("n_vertices", found.vertices.agg(F.count("*")).scalar())
+
+
+def edge_folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges by label in folders: those of one label and an interval of sources, read back."""
+    path = new_path(spark, "folders")
+    write_edges(alias_edges(spark, sf_dir), path)
+    return read_edges(spark, path, ["d"], (10_000, 200_000))
+
+
 def _intervals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     edges = alias_edges(spark, sf_dir)
     return edges, vertex_intervals(edges, LabeledGraph.from_dataframe(edges).vertices, BUDGET)
@@ -229,6 +267,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         conv_reach, order_chain_reach, dyck_events, same_generation, alias_points_to, line_flow_reach, dataflow_events, points_to_labels,
         eps_only, unit_rename, compose_once, delta_except, union_dedup, degree_by_src, elements_by_src, label_counts_q, final_edge_count,
         adjacency_export, adjacency_decode, bit_positions, interval_scan, distinct_label_count, degree_by_region, interval_plan_q, pair_weights_q, next_pair_q, inverse_edges,
+        grammar_file_rules, rule_label_count, graph_file_edges, graph_file_sizes, edge_folder_scan,
     )
 }
 
@@ -269,6 +308,9 @@ _ELEMENTS = "n AS (SELECT s, count(DISTINCT (d // 192, l)) AS n FROM e GROUP BY
 _PID = f"{_ELEMENTS}, pids AS (SELECT id, n, ((sum(n) OVER (ORDER BY id) - n) // {BUDGET})::BIGINT AS pid FROM k)"
 _WEIGHTS = f"{_PID}, deg AS (SELECT s, count(*) AS n FROM e GROUP BY s), w AS (SELECT a.pid AS p, b.pid AS q, sum(coalesce(deg.n, 0))::BIGINT AS weight FROM e JOIN pids a ON a.id = e.s JOIN pids b ON b.id = e.d LEFT JOIN deg ON deg.s = e.d WHERE a.pid <> b.pid GROUP BY ALL)"
 
+_quoted = lambda x: "NULL" if x is None else f"'{x}'"
+_RULES = ", ".join(f"({n}, {_quoted(r.lhs)}, {_quoted(r.rhs1)}, {_quoted(r.rhs2)})" for n, r in enumerate(POINTS_TO.rules))
+
 ORACLES: dict[str, str] = {
     "conv_reach": _linear(_CONV),
     "order_chain_reach": _linear(_ORDERS),
@@ -287,7 +329,7 @@ ORACLES: dict[str, str] = {
     "elements_by_src": f"WITH {_ALIAS} SELECT s AS src, count(DISTINCT (d // 192, l)) AS n_elements FROM e GROUP BY s",
     "label_counts": f"WITH RECURSIVE {_CONV}, p(s, d) AS (SELECT s, d FROM e UNION SELECT p.s, e.d FROM p JOIN e ON p.d = e.s) SELECT 'n' AS label, count(*) AS n_edges FROM e HAVING count(*) > 0 UNION ALL SELECT 'P', count(*) FROM p HAVING count(*) > 0",
     "final_edge_count": f"WITH RECURSIVE {_LINES}, p(s, d) AS (SELECT s, d FROM le UNION SELECT p.s, le.d FROM p JOIN le ON p.d = le.s) SELECT (SELECT count(*) FROM le) + (SELECT count(*) FROM p) AS n_edges",
-    "adjacency_export": f"WITH {_ALIAS} SELECT s AS src, l AS label, string_agg(d::VARCHAR, ',' ORDER BY d) AS targets FROM e GROUP BY s, l",
+    "adjacency_export": f"WITH {_ALIAS} SELECT s AS src, l AS label, d // 192 AS base, string_agg(d::VARCHAR, ',' ORDER BY d) AS targets FROM e GROUP BY s, l, d // 192",
     "adjacency_decode": f"WITH {_ALIAS} SELECT s AS src, l AS label, d AS dst FROM e",
     "bit_positions": f"WITH {_ALIAS} SELECT DISTINCT d AS dst, d // 192 AS base, (d % 192 // 32)::INTEGER AS unit, (d % 32)::INTEGER AS bit, d AS vertex FROM e",
     "interval_scan": f"WITH {_ALIAS} SELECT s AS src, l AS label, d AS dst FROM e WHERE s BETWEEN 10000 AND 200000",
@@ -296,5 +338,10 @@ ORACLES: dict[str, str] = {
     "interval_plan": f"WITH {_ALIAS}, {_PID} SELECT pid, min(id) AS first_id, max(id) AS last_id, sum(n)::BIGINT AS n_elements FROM pids GROUP BY pid",
     "pair_weights": f"WITH {_ALIAS}, {_WEIGHTS} SELECT p, q, weight FROM w",
     "next_pair": f"WITH {_ALIAS}, {_WEIGHTS} SELECT least(p, q) AS p, greatest(p, q) AS q, sum(weight)::BIGINT AS weight FROM w GROUP BY 1, 2 ORDER BY weight DESC, 1, 2 LIMIT 1",
+    "grammar_file_rules": f"SELECT * FROM (VALUES {_RULES}) t(rule, lhs, rhs1, rhs2)",
+    "rule_label_count": f"WITH r(rule, lhs, rhs1, rhs2) AS (VALUES {_RULES}) SELECT count(DISTINCT x) AS n_labels FROM (SELECT lhs AS x FROM r UNION ALL SELECT rhs1 FROM r UNION ALL SELECT rhs2 FROM r)",
+    "graph_file_edges": f"WITH {_ALIAS} SELECT DISTINCT s AS src, l AS label, d AS dst FROM e",
+    "graph_file_sizes": f"WITH {_PLACES} SELECT (SELECT count(*) FROM e) AS n_edges, (SELECT max(greatest(s, d)) + 1 FROM e) AS n_vertices",
+    "edge_folder_scan": f"WITH {_ALIAS} SELECT s AS src, l AS label, d AS dst FROM e WHERE l = 'd' AND s BETWEEN 10000 AND 200000",
     "inverse_edges": f"WITH {_PLACES}, {_INVERSE} SELECT s AS src, l AS label, d AS dst FROM i",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bits import base_of
 from ..operators.graph import LabeledGraph
 from ..plans.grammar import Grammar
 from .tables import local_table
@@ -20,6 +21,11 @@ def read_grammar(spark: SparkSession, path: str) -> Grammar:
     return Grammar.parse("\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect()))
 
 
+def write_grammar(spark: SparkSession, grammar: Grammar, path: str) -> None:
+    """One text file in the form that read_grammar() reads."""
+    local_table(spark, [(grammar.to_text().rstrip("\n"),)], "value string").coalesce(1).write.text(path)
+
+
 def read_graph(spark: SparkSession, path: str) -> LabeledGraph:
     """A graph file: a line with the numbers of edges and of vertices, then src, dst and label of an edge a line, between tabs.
 
@@ -79,8 +85,11 @@ def within(edges: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """(src, label, targets): the sorted targets of each source and label. A source with very many needs one task's memory for them."""
-    return edges.groupBy("src", "label").agg(F.array_sort(F.collect_set("dst")).alias("targets"))
+    """(src, label, base, targets): the sorted targets of each source and label in each bit-vector element, WIDTH at most.
+
+    So a source with very many edges has many rows, over many tasks, and none that grows with it.
+    """
+    return edges.groupBy("src", "label", base_of("dst").alias("base")).agg(F.array_sort(F.collect_set("dst")).alias("targets"))
 
 
 def edges_of(lists: DataFrame) -> DataFrame:

@@ -10,13 +10,18 @@ from ..operators.closure import SCHEMA
 from ..operators.graph import EDGE
 from ..operators.rules import apply_binary, apply_unit, epsilon_edges, merge_edges, new_edges
 from ..plans.grammar import Grammar
-from ..sources.tables import local_table, written
+from ..sources.tables import drop_written, local_table, written
 
 
-def extend(closed: DataFrame, edges: DataFrame, grammar: Grammar) -> DataFrame:
-    """The edges that a closed set and new edges imply and that the closed set has not, the new ones among them."""
+def extend(closed: DataFrame, edges: DataFrame, grammar: Grammar, tables: list[DataFrame] | None = None) -> DataFrame:
+    """The edges that a closed set and new edges imply and that the closed set has not, the new ones among them.
+
+    tables: gets the tables that the result reads, which drop_written() removes when it has been saved.
+    """
+    tables = [] if tables is None else tables
     fresh = merge_edges(edges, epsilon_edges(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), grammar.epsilon))
     delta = written(new_edges(fresh, closed), "fresh")
+    tables.append(delta)
     added = delta
     while delta.limit(1).count():
         known = closed.select(*EDGE).union(added)
@@ -24,6 +29,7 @@ def extend(closed: DataFrame, edges: DataFrame, grammar: Grammar) -> DataFrame:
         if grammar.unit:
             found = found.union(apply_unit(delta, grammar.unit))
         delta = written(new_edges(found, known), "fresh")
+        tables.append(delta)
         added = added.union(delta)
     return added
 
@@ -36,8 +42,11 @@ def closure_stream(spark: SparkSession, edges: DataFrame, grammar: Grammar, path
 
     def step(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        closed = read_closure(session, path, before=number)
-        extend(closed, batch.select(F.col("src").cast("long"), F.col("label").cast("string"), F.col("dst").cast("long")).distinct(), grammar).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        closed, tables = read_closure(session, path, before=number), []
+        edges = batch.select(F.col("src").cast("long"), F.col("label").cast("string"), F.col("dst").cast("long")).distinct()
+        extend(closed, edges, grammar, tables).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for table in tables:
+            drop_written(table)
 
     return edges.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
 

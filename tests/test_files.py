@@ -41,7 +41,7 @@ def test_edges_by_label_and_adjacency(spark, tmp_path):
     assert rows(read_edges(spark, f"file://{tmp_path}/e", ["b"])) == [(0, "b", 40000)]
     assert rows(read_edges(spark, f"file://{tmp_path}/e", sources=(1, 3))) == [(3, "a", 1)]
     lists = adjacency(edges)
-    assert {(r.src, r.label): r.targets for r in lists.collect()} == {(0, "a"): [1, 2], (0, "b"): [40000], (3, "a"): [1]}
+    assert {(r.src, r.label, r.base): r.targets for r in lists.collect()} == {(0, "a", 0): [1, 2], (0, "b", 208): [40000], (3, "a", 0): [1]}
     assert rows(edges_of(lists)) == rows(edges)
     assert bitmaps(edges).count() == 3
 
