@@ -30,10 +30,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .embed_dedup import _VALID, _matrix
-from .runtime import map_batches, written
+from .runtime import map_batches, ragged, written
 
 #: Trees of a forest, bits of a string, vectors of a shard.
-TREES, BITS, SHARD = 256, 20, 16384
+TREES, BITS, SHARD = 256, 18, 16384
+#: Of the rows of a shard the share that the first level searched has, at least; bits up to which prefixes are looked up in a table.
+FIRST, TABLE = 1 / 32, 12
+#: Queries that ascend together.
+QUERIES = 128
 #: The chance with which the last of a query's neighbours may be missed.
 MISS = 0.15
 
@@ -49,8 +53,13 @@ class Forest:
         self.planes = np.random.default_rng(seed).standard_normal((trees * bits, x.shape[1] + 1))
         rest = np.sqrt(np.maximum(0.0, 1.0 - (norms / self.top) ** 2))
         codes = self.strings(np.concatenate([x / self.scale / self.top, rest[:, None]], 1))
-        self.order = np.argsort(codes, 0, kind="stable").T.astype(np.int32)
-        self.codes = np.take_along_axis(codes.T, self.order, 1)
+        codes = np.ascontiguousarray(codes.T)
+        self.order = np.argsort(codes, 1).astype(np.int32)
+        self.codes = np.take_along_axis(codes, self.order, 1)
+        # where each prefix of that many bits starts in each tree
+        self.short = min(TABLE, bits)
+        edges = np.arange((1 << self.short) + 1) << bits - self.short
+        self.starts = np.stack([np.searchsorted(c, edges) for c in self.codes])
 
     def strings(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.trees), np.int32)
@@ -60,37 +69,47 @@ class Forest:
                 out[k : k + 512] = out[k : k + 512] << 1 | side[:, :, b]
         return out
 
-    def nearest(self, x: np.ndarray, data: np.ndarray, rank: int, least: int, miss: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def nearest(self, x: np.ndarray, data: np.ndarray, rank: int, least: int, miss: float) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the candidates, `least` at least, and their inner products."""
+        n, least = len(x), min(max(rank, least, int(FIRST * self.size)), self.size)
         norm = np.sqrt(((x / np.abs(x).max(1, keepdims=True)) ** 2).sum(1)) * np.abs(x).max(1)
-        strings = self.strings(np.concatenate([x / norm[:, None], np.zeros((len(x), 1))], 1))
-        low, high = (np.zeros((self.bits + 1, self.trees, len(x)), np.int32) for _ in range(2))
-        for t in range(self.trees):
-            prefix = strings[:, t] >> np.arange(self.bits, -1, -1)[:, None]
-            shift = np.arange(self.bits, -1, -1)[:, None]
-            low[:, t] = np.searchsorted(self.codes[t], prefix << shift)
-            high[:, t] = np.searchsorted(self.codes[t], prefix + 1 << shift)
-        met, least = (high - low).sum(1), min(max(rank, least), self.size)
-        for q in range(len(x)):
+        strings = self.strings(np.concatenate([x / norm[:, None], np.zeros((n, 1))], 1))
+        score, order = np.full((n, self.size), -np.inf), self.order.ravel()
+        base = np.arange(self.trees)[:, None] * self.size
+        best, going, marked = [np.zeros(0)] * n, np.arange(n), np.zeros(self.size, bool)
+        for length in range(self.bits, -1, -1):  # all queries ascend a bit at a time, in all trees
+            shift = self.bits - length
+            prefix = (strings[going] >> shift).T
+            if length <= self.short:
+                low, high = (self.starts[np.arange(self.trees)[:, None], prefix + k << self.short - length] for k in (0, 1))
+            else:
+                low, high = (np.stack([np.searchsorted(c, p + k << shift) for c, p in zip(self.codes, prefix, strict=True)]) for k in (0, 1))
+            sizes, low = high - low, low + base
+            stay = np.ones(len(going), bool)
             # fewer rows than that met in all cannot be enough different ones
-            length = int(np.flatnonzero(met[:, q] >= least)[-1])
-            seen, score, count = np.zeros(self.size, bool), np.full(self.size, -np.inf), 0
-            while True:
-                for t, (a, z) in enumerate(zip(low[length, :, q].tolist(), high[length, :, q].tolist(), strict=True)):
-                    seen[self.order[t, a:z]] = True
-                new = np.flatnonzero(seen & (score == -np.inf))
-                score[new] = data[new] @ x[q]
-                count += len(new)
-                if length == 0 or count == self.size:
-                    break
-                if count >= least:
-                    last = -np.partition(-score, rank - 1)[rank - 1]
+            for at in np.flatnonzero(sizes.sum(0) >= least).tolist():
+                q = going[at]
+                marked[order_of(order, low[:, at], sizes[:, at])] = True
+                new = np.flatnonzero(marked & (score[q] == -np.inf))
+                marked[:] = False
+                score[q, new] = found = data[new] @ x[q]
+                best[q] = np.concatenate([best[q], found])
+                if length == 0 or len(best[q]) == self.size:
+                    stay[at] = False
+                elif len(best[q]) >= least:
+                    last = -np.partition(-best[q], rank - 1)[rank - 1]
                     share = 1 - np.arccos(np.clip(last / self.scale / self.top / norm[q], -1, 1)) / np.pi
-                    if (1 - share**length) ** self.trees <= miss:
-                        break
-                length -= 1
-            found = np.flatnonzero(seen)
-            yield found, score[found]
+                    stay[at] = (1 - share**length) ** self.trees > miss
+            going = going[stay]
+            if not len(going):
+                break
+        return [(at, row[at]) for row in score for at in [np.flatnonzero(row != -np.inf)]]
+
+
+def order_of(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The rows that stand in those stretches of the trees."""
+    some = sizes > 0
+    return ragged(starts[some], sizes[some], order)
 
 
 def _searched(batches: Iterator[pa.RecordBatch], k: int, miss: float, trees: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -113,9 +132,9 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int, miss: float, trees: int
                 ids, data = (np.concatenate(x) for x in zip(*held, strict=True))
                 forest = Forest(data, trees, bits)
             own, rank, x = np.asarray(part.column(2)), int(part.column(3)[0].as_py()), _matrix(part.column(4))
-            for at in range(0, len(own), 256):
+            for at in range(0, len(own), QUERIES):
                 out: list[list] = [[], [], [], [], []]
-                for q, (found, score) in enumerate(forest.nearest(x[at : at + 256], data, min(rank, len(data)), k + 1, miss), at):
+                for q, (found, score) in enumerate(forest.nearest(x[at : at + QUERIES], data, min(rank, len(data)), k + 1, miss), at):
                     scored = len(found)
                     other = ids[found] != own[q]
                     found, score = found[other], score[other]
