@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweaver.llm import bpe, langid, line_dedup, mixing, near_texts
-from orbweaver.llm.runtime import written
+from orbweaver.llm.runtime import drop_written, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -61,5 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is a Parquet table in the shared folder that the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        now = written(stage(spark, docs, sf_dir), name)
+        drop_written(docs)
+        docs = now
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -38,9 +38,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches of bounded bytes, since rows here hold whole texts."""
+    """mapInArrow in batches of bounded bytes, since rows here hold whole texts; a bound that the session has set stays."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    conf, bound = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if bound not in conf.getAll:
+        conf.set(bound, BATCH_BYTES)
     return df.mapInArrow(function, schema)
 
 
