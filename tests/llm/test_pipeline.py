@@ -79,3 +79,21 @@ def test_large_group_of_copies_keeps_one(spark):
     docs, stages = spark.createDataFrame([(*r, len(r[1])) for r in rows], SCHEMA), dict(corpus_pipeline.STAGES)
     single = stages["near_copies"](spark, stages["lines"](spark, docs, ""), "")
     assert {r["doc_id"]: r["text"] for r in single.collect()} == {**{k: t for k, t, _, _ in rows[:60]}, 100: same}
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    """Nulls in every column, repeated rows and columns with the names that stages use inside."""
+    names = ["key", "rep", "print", "digest", "component", "host", "line", "page", "score", "part", "row", "block", "token_ids", "__lang"]
+    rows = [(*r, len(r[1] or "")) for r in made()]
+    rows += [rows[0], rows[0], (None, rows[4][1], None, None, None), (None, rows[4][1], None, None, None), (950, rows[6][1] + "\nkabta kacta", None, None, None)]
+    docs = spark.createDataFrame([(*r, *[1] * len(names)) for r in rows], SCHEMA + "".join(f", {n} int" for n in names))
+    stages = dict(corpus_pipeline.STAGES)
+    found = stages["language"](spark, docs, "")
+    assert found.columns == docs.columns[:5] and found.count() == len(rows) - 3
+    lines = stages["lines"](spark, docs, "")
+    assert lines.columns == docs.columns[:5] and lines.count() == len(rows)
+    single = stages["near_copies"](spark, docs, "").collect()
+    # rows with equal keys go together, null keys stay
+    assert Counter(r["doc_id"] for r in single)[0] == 3 and sum(r["doc_id"] is None for r in single) == 2 and 950 not in {r["doc_id"] for r in single}
+    assert set(stages["mix"](spark, docs, "").columns) == set(docs.columns[:5])
+    assert stages["encode"](spark, docs, "").count() == len(rows)
