@@ -76,7 +76,7 @@ def grams(text: str | None) -> np.ndarray | None:
 
 
 def _typical(rows: list[tuple[str, np.ndarray]], languages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The places of typical 3-grams, of which languages they are (none in the row after the last), and the floors of the languages."""
+    """The places of typical 3-grams, of which languages they are, and the floors of the languages."""
     each, floors = [], np.zeros(len(languages))
     for k, lang in enumerate(languages):
         own = [x for of, x in rows if of == lang]
@@ -86,7 +86,7 @@ def _typical(rows: list[tuple[str, np.ndarray]], languages: list[str]) -> tuple[
             shares = [np.count_nonzero((counts[x] - 1 >= TYPICAL * (len(own) - 1)) & (counts[x] > 1)) / len(x) for x in own]
             floors[k] = CAUTION * np.quantile(shares, 0.01)
     at = np.unique(np.concatenate([*each, np.zeros(0, np.int64)]))
-    of = np.zeros((len(at) + 1, len(languages)), bool)
+    of = np.zeros((len(at), len(languages)), bool)
     for k, x in enumerate(each):
         of[np.searchsorted(at, x), k] = True
     return at, of, floors
@@ -109,6 +109,7 @@ class Model:
         for at in range(0, len(texts), ROWS):
             part = texts[at : at + ROWS]
             matrix, norms = np.zeros((len(part), len(self.columns)), np.float32), np.full(len(part), np.nan)
+            usual, threes = np.zeros((len(part), len(self.typical_at) if familiar is not None else 0), np.float32), np.ones((len(part), 1))
             for k, t in enumerate(part):
                 if (places := grams(t)) is None:
                     continue
@@ -116,13 +117,11 @@ class Model:
                 norms[k] = np.sqrt(np.count_nonzero(held))
                 matrix[k] = held[self.columns]
                 if familiar is not None:
-                    three = np.flatnonzero(held[1 << SHORT :])
-                    slot = np.searchsorted(self.typical_at, three)
-                    near = np.minimum(slot, max(0, len(self.typical_at) - 1))
-                    slot = np.where(self.typical_at[near] == three, slot, len(self.typical_at)) if len(self.typical_at) else slot
-                    familiar[at + k] = (self.typical[slot].sum(0) + CERTAIN * np.sqrt(len(three))) / len(three) - self.floors
+                    usual[k], threes[k] = held[self.typical_at + (1 << SHORT)], np.count_nonzero(held[1 << SHORT :])
                 held[places] = False
             out[at : at + len(part)] = (matrix @ self.weights) / norms[:, None] + self.bias
+            if familiar is not None:
+                familiar[at : at + len(part)] = (usual @ self.typical.astype(np.float32) + CERTAIN * np.sqrt(threes)) / threes - self.floors
         return out
 
     def predict(self, texts: list[str | None], reject: bool = False) -> tuple[list[str], list[float]]:
@@ -158,7 +157,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     known = [(lang, np.unique(places)) for lang, t in rows if (places := grams(t)) is not None]
     languages = sorted({lang for lang, _ in known})
     if not languages:
-        return Model(np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), [], np.zeros(0, np.int64), np.zeros((1, 0), bool), np.zeros(0))
+        return Model(np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), [], np.zeros(0, np.int64), np.zeros((0, 0), bool), np.zeros(0))
     seen = dict.fromkeys(languages, 0)
     chosen = []
     for lang, at in known:

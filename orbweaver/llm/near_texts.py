@@ -39,7 +39,7 @@ from .simhash import majority, shingle_hashes, tally
 #: Words of a fingerprint, choices of four of its positions, and pairs retained: least shared bytes, most differing bits.
 WORDS, KEYS, SHARED, BITS = 16, 960, 20, 192
 #: Texts of a sender's block; index entries of a task.
-BLOCK, ENTRIES = 2048, 1 << 21
+BLOCK, ENTRIES = 1024, 1 << 20
 #: Pairs compared at a time.
 _PAIRS = 1 << 15
 
@@ -97,7 +97,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], routes: int, keys: int, whole: boo
             rep, prints, label = np.asarray(part.column(0)), _bytes(part.column(1)), np.asarray(part.column(2))
             n = len(rep)
             h = entries(prints, prints.shape[1] // 8, keys).ravel()
-            text = np.repeat(np.arange(n), keys)
+            text = np.repeat(np.arange(n, dtype=np.int32), keys)
             if not whole:
                 order = np.argsort(h, kind="stable")
                 new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
@@ -108,7 +108,8 @@ def _dealt(batches: Iterator[pa.RecordBatch], routes: int, keys: int, whole: boo
                     stay = np.ones(len(h), bool)
                     stay[order[~new]] = False
                     h, text = h[stay], text[stay]
-            route = (h >> np.uint64(40)).astype(np.int64) % routes
+                del order, new
+            route = ((h >> np.uint64(40)) % np.uint64(routes)).astype(np.int32)
             order = np.argsort(route, kind="stable")  # by text within a route
             h, text, route = h[order], text[order], route[order]
             low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint8)
