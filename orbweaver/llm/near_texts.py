@@ -8,13 +8,16 @@ positional bytes are tallied; pairs that reach SHARED, and differ in BITS bits a
 0.8), and verified: linked if their shingle sets, taken anew from the texts, have the similarity. So nothing below it is
 ever linked. Of pairs at 0.8 some 95 % meet, of those at 0.85 over 99.9 % (simulated; README).
 
-Texts of equal sets are made one first. Index entries are dealt by hash over tasks of bounded size, packed as arrays: six
-bytes or so an entry; of a posting's texts in one block of a table only the first goes on, with the others noted as met by
-it, so that a hot posting does not gather. A first round joins each text with the smallest one that it met so. Then the
-index is dealt again, for texts that met others, with fingerprints and components: postings are compared in blocks, and
-pairs in one component already are passed over. The second round takes each text's nearest partner, the third every pair
-that is retained, in the first posting that it shares. So of any two texts that meet and end in different components the
-pair was tallied and verified, while a large group of copies takes a few pairs of each text, not all its pairs.
+Texts of equal sets are made one first. The index is made of TURN choices at a time, and its shuffle files go before the
+next are dealt, so that the disk never holds it whole. Entries are dealt by hash over tasks of bounded size, packed as
+arrays: six to fifteen bytes an entry, the more the fewer a text has for one task; of a posting's texts in one block of a
+table only the first goes on, with the others noted as met by it, so that a hot posting does not gather. A first round
+joins each text with the smallest one that it met so. Then the index is made again, for texts that met others, with their
+components: it gives the entries of postings that hold several components, and only these are dealt with fingerprints, to
+be compared in blocks; pairs in one component already are passed over. The second round takes each text's nearest partner,
+the third every pair that is retained, in the first posting that it shares: components only grow, so it has the entries
+it needs among the second's. So of any two texts that meet and end in different components the pair was tallied and
+verified, while a large group of copies takes a few pairs of each text, not all its pairs.
 
 Words are what stands between ASCII white space, A-Z in lower case; a text of fewer words than a shingle has is one
 shingle. Null, empty and blank texts have the empty set and are copies of each other. Rows with equal keys go together.
@@ -23,8 +26,8 @@ Other columns are kept, whatever their names; an empty table gives an empty resu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +41,8 @@ from .simhash import majority, shingle_hashes, tally
 
 #: Words of a fingerprint, choices of four of its positions, and pairs retained: least shared bytes, most differing bits.
 WORDS, KEYS, SHARED, BITS = 16, 960, 20, 192
-#: Texts of a sender's block; index entries of a task.
-BLOCK, ENTRIES = 1024, 1 << 20
+#: Texts of a sender's block; index entries of a task, and of one that compares, where each may bring a fingerprint; choices at a time.
+BLOCK, ENTRIES, COMPARED, TURN = 4096, 1 << 20, 1 << 16, 120
 #: Pairs compared at a time.
 _PAIRS = 1 << 15
 
@@ -56,10 +59,11 @@ def choices(words: int = WORDS, keys: int = KEYS) -> np.ndarray:
     return np.concatenate([draw.permutation(n).reshape(-1, 4) for _ in range(-(-4 * keys // n))])[:keys]
 
 
-def entries(prints: np.ndarray, words: int = WORDS, keys: int = KEYS) -> np.ndarray:
-    """For each fingerprint (a row of bytes) the hash of each choice with the bytes there."""
-    four = np.take(prints, choices(words, keys).ravel(), 1).view(np.uint32).astype(np.uint64)
-    x = (four | np.arange(keys, dtype=np.uint64) << np.uint64(32)) + np.uint64(0x9E3779B97F4A7C15)
+def entries(prints: np.ndarray, words: int = WORDS, keys: int = KEYS, some: range | None = None) -> np.ndarray:
+    """For each fingerprint (a row of bytes) the hash of each choice (of some of them) with the bytes there."""
+    some = range(keys) if some is None else some
+    four = np.take(prints, choices(words, keys)[some.start : some.stop].ravel(), 1).view(np.uint32).astype(np.uint64)
+    x = (four | np.arange(some.start, some.stop, dtype=np.uint64) << np.uint64(32)) + np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return x ^ x >> np.uint64(31)
@@ -83,22 +87,25 @@ def _bytes(column: pa.Array) -> np.ndarray:
 
 
 _BLOB = ["route", "texts", "counts", "low", "high", "extra"]
+_BLOBS = "route int, texts binary, counts binary, low binary, high binary, extra binary"
+#: The bits of an entry that say its posting, besides its first route.
+_OWN = np.uint64((1 << 40) - 1)
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], routes: int, keys: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (rep, print, component) as blobs of index entries, some for each route.
+def _dealt(batches: Iterator[pa.RecordBatch], routes: int, keys: int, some: range, labelled: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, print, component) as blobs of the index entries of some choices, some for each route.
 
-    Unless `whole`, of a posting's texts in this block only the first goes to its route, and the others' pairs with it go
-    as a blob of pairs (counts is null).
+    Unless `labelled`, where components go with the texts, of a posting's texts in this block only the first goes to its
+    route, and the others' pairs with it go as a blob of pairs (counts is null).
     """
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
             rep, prints, label = np.asarray(part.column(0)), _bytes(part.column(1)), np.asarray(part.column(2))
             n = len(rep)
-            h = entries(prints, prints.shape[1] // 8, keys).ravel()
-            text = np.repeat(np.arange(n, dtype=np.int32), keys)
-            if not whole:
+            h = entries(prints, prints.shape[1] // 8, keys, some).ravel()
+            text = np.repeat(np.arange(n, dtype=np.int32), len(some))
+            if not labelled:
                 order = np.argsort(h, kind="stable")
                 new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
                 if not new.all():
@@ -110,17 +117,32 @@ def _dealt(batches: Iterator[pa.RecordBatch], routes: int, keys: int, whole: boo
                     h, text = h[stay], text[stay]
                 del order, new
             route = ((h >> np.uint64(40)) % np.uint64(routes)).astype(np.int32)
-            order = np.argsort(route, kind="stable")  # by text within a route
-            h, text, route = h[order], text[order], route[order]
-            low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint8)
-            cuts = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1], [True]])).tolist()
-            for a, z in zip(cuts, cuts[1:]):
-                own = text[a:z]
-                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                who = own[starts]
-                extra = label[who].tobytes() + prints[who].tobytes() if whole else b""
-                counts = np.diff(np.concatenate([starts, [z - a]])).astype(np.uint16)
-                yield _blob(int(route[a]), rep[who].tobytes(), counts.tobytes(), low[a:z].tobytes(), high[a:z].tobytes(), extra)
+            yield from _packed(route, text, h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint8), rep, label[:, None] if labelled else None)
+
+
+def _dealt_again(batches: Iterator[pa.RecordBatch], routes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, print, component, postings) as blobs of these entries with the texts' components and fingerprints."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            counts, h = np.asarray(part.column(3).value_lengths()), np.asarray(part.column(3).flatten()).view(np.uint64)
+            extra = np.concatenate([np.asarray(part.column(2))[:, None].view(np.uint8), _bytes(part.column(1))], 1)
+            route = ((h & _OWN) % np.uint64(routes)).astype(np.int32)
+            yield from _packed(route, np.repeat(np.arange(len(counts), dtype=np.int32), counts), h, np.zeros(len(h), np.uint8)[:0], np.asarray(part.column(0)), extra)
+
+
+def _packed(route: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray, rep: np.ndarray, extra: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Entries in the order of their texts, as a blob for each route; extra has a row for each text."""
+    order = np.argsort(route, kind="stable")  # by text within a route
+    low, text, route = low[order], text[order], route[order]
+    high = high[order] if len(high) else high
+    cuts = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1], [True]])).tolist() if len(route) else []
+    for a, z in zip(cuts, cuts[1:]):
+        own = text[a:z]
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        who = own[starts]
+        counts = np.diff(np.concatenate([starts, [z - a]])).astype(np.uint16)
+        yield _blob(int(route[a]), rep[who].tobytes(), counts.tobytes(), low[a:z].tobytes(), high[a:z].tobytes(), b"" if extra is None else extra[who].tobytes())
 
 
 def _blob(route: int, *parts: bytes | None) -> pa.RecordBatch:
@@ -177,23 +199,52 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
 
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, postings): the entries of a task's postings that hold several components, by text."""
+    h, rep, label = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _, texts, counts, own, _, extra in _blobs(batches):
+        h.append(own)
+        rep.append(np.repeat(texts, counts))
+        label.append(np.repeat(np.frombuffer(extra, np.int64), counts))
+    hs, reps, labels = np.concatenate(h), np.concatenate(rep), np.concatenate(label)
+    del h, rep, label
+    order, first, sizes = _postings(hs)
+    if not len(first):
+        return
+    labels = labels[order]
+    order = order[np.repeat(np.minimum.reduceat(labels, first) != np.maximum.reduceat(labels, first), sizes)]
+    order = order[np.argsort(reps[order], kind="stable")]
+    hs, reps = hs[order], reps[order]
+    starts = np.flatnonzero(np.concatenate([[True], reps[1:] != reps[:-1]]))[: len(reps)]
+    for at in range(0, len(starts), BLOCK):
+        ends = np.concatenate([starts, [len(reps)]])[at : at + BLOCK + 1]
+        lists = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(hs[ends[0] : ends[-1]].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(reps[ends[:-1]]), lists], ["rep", "postings"])
+
+
 def _apart(batches: Iterator[pa.RecordBatch], keys: int, shared: int, bits: int, nearest: bool) -> Iterator[pa.RecordBatch]:
     """(a, b): retained pairs in different components of a task's postings, each in the first posting it shares; with `nearest` each text's with fewest differing bits."""
     hs, who, reps, labels, prints, n = [], [], [], [], [], 0
-    for _, texts, counts, h, _, extra in _blobs(batches):
-        hs.append(h)
-        who.append(np.repeat(np.arange(n, n + len(texts)), counts))
-        reps.append(texts)
-        labels.append(np.frombuffer(extra, np.int64, len(texts)))
-        prints.append(np.frombuffer(extra, np.uint8, offset=8 * len(texts)).reshape(len(texts), -1))
-        n += len(texts)
+    for batch in batches:
+        for blob, own, entry, more in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 5)), strict=True):
+            texts, extra = np.frombuffer(blob, np.int64), np.frombuffer(more, np.uint8)
+            extra = extra.reshape(len(texts), -1)
+            hs.append(np.frombuffer(entry, np.uint64))
+            who.append(np.repeat(np.arange(n, n + len(texts)), np.frombuffer(own, np.uint16)))
+            reps.append(texts)
+            labels.append(extra[:, :8].copy().view(np.int64)[:, 0])
+            prints.append(extra[:, 8:])
+            n += len(texts)
     if not n:
         return
-    rep, label, bytes_ = np.concatenate(reps), np.concatenate(labels), np.concatenate(prints)
-    text, h = np.concatenate(who), np.concatenate(hs)
+    # a text has a place for each blob that names it, and one of all in what follows
+    rep, place, number = np.unique(np.concatenate(reps), return_index=True, return_inverse=True)
+    label, bytes_ = np.concatenate(labels)[place], np.concatenate(prints)[place]
+    text, h, n = number[np.concatenate(who)], np.concatenate(hs), len(rep)
+    del hs, who, reps, labels, prints
     order, first, sizes = _postings(h)
     text, h, word = text[order], h[order], bytes_.view(np.uint64)
-    four, own = choices(bytes_.shape[1] // 8, keys), h & np.uint64((1 << 40) - 1)
+    four, own = choices(bytes_.shape[1] // 8, keys), h & _OWN
 
     best = np.full(n, np.iinfo(np.int64).max)  # of each text the fewest differing bits, and with whom
 
@@ -210,7 +261,7 @@ def _apart(batches: Iterator[pa.RecordBatch], keys: int, shared: int, bits: int,
             np.minimum.at(best, y, differ << 40 | x)
         elif len(x):
             first_shared = (bytes_[x] == bytes_[y])[:, four].all(2).argmax(1)
-            met = entries(bytes_[x], bytes_.shape[1] // 8, keys)[np.arange(len(x)), first_shared] & np.uint64((1 << 40) - 1)
+            met = entries(bytes_[x], bytes_.shape[1] // 8, keys)[np.arange(len(x)), first_shared] & _OWN
             x, y = (rep[v[met == own[posting[apart]]]] for v in (x, y))
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.zeros(len(x), np.int64))], ["a", "b", "differ"])
@@ -232,18 +283,24 @@ def _apart(batches: Iterator[pa.RecordBatch], keys: int, shared: int, bits: int,
                         x, y = (v.ravel() for v in np.meshgrid(outside[row : row + step], member, indexing="ij"))
                         yield from retained(x, y, np.full(len(x), k))
     if nearest and len(found := np.flatnonzero(best < np.iinfo(np.int64).max)):
-        # in each table a text has places of its own for each blob: the best of all is taken later
+        # the best of all tasks is taken later
         x, y = rep[found], rep[best[found] & (1 << 40) - 1]
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(best[found] >> 40)], ["a", "b", "differ"])
 
 
-def _index(texts: DataFrame, count: int, keys: int, whole: bool) -> DataFrame:
+def _index(texts: DataFrame, count: int, keys: int, some: range, labelled: bool) -> DataFrame:
     """_dealt() of (rep, print, component), by route: as many routes as keep a task's entries bounded."""
-    parts = max(1, -(-count * keys // ENTRIES), 1 if whole else int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blobs = map_batches(texts.select("rep", "print", "component"), lambda batches: _dealt(batches, parts, keys, whole), "route int, texts binary, counts binary, low binary, high binary, extra binary")
+    parts = max(1, -(-count * len(some) // ENTRIES), 1 if labelled else int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blobs = map_batches(texts.select("rep", "print", "component"), lambda batches: _dealt(batches, parts, keys, some, labelled), _BLOBS)
     return blobs.repartition(parts, "route")
 
 
+def _turns(texts: DataFrame, count: int, keys: int, labelled: bool, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> list[DataFrame]:
+    """What function() makes of the index, a table for each turn: only one turn's index is on the disks at a time."""
+    turns = [range(k, min(k + TURN, keys)) for k in range(0, keys, TURN)]
+    return [written(map_batches(_index(texts, count, keys, some, labelled), function, schema), "turn") for some in turns]
+
+
 def _tallied(pairs: DataFrame, same: DataFrame, shared: int, bits: int) -> DataFrame:
     """(a, b, differ): the pairs whose fingerprints share enough positional bytes and differ in few enough bits."""
     own = lambda name, value: same.select(F.col("rep").alias(name), F.col("print").alias(value))
@@ -271,12 +328,17 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
     return map_batches(df, run, "rep long, shingles array<long>")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have that similarity."""
-    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
+def _alike(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b), of a written table, whose texts' sets have that similarity, written; only their texts are looked at."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    few = docs.join(ends, F.col("key") == F.col("rep"), "left_semi").select(F.col("key").alias("rep"), "text")
+    sets = written(_sets(few, words).distinct(), "shingles")
+    left = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b")
+    found = written(both.where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b"), "alike")
+    drop_written(sets)
+    return found
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, size: int = WORDS, keys: int = KEYS, shared: int = SHARED, bits: int = BITS) -> DataFrame:
@@ -285,30 +347,39 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     found = written(_prints(docs, words, size), "prints")
     same = written(found.groupBy("digest", "print").agg(F.min("key").alias("rep")), "sets")
     texts = same.where("print is not null")
-    met = map_batches(_index(texts.withColumn("component", F.col("rep")), same.count(), keys, False), _meetings, "a long, b long")
-    met = written(met.groupBy("b").agg(F.min("a").alias("a")), "met")
+    turns = _turns(texts.withColumn("component", F.col("rep")), same.count(), keys, False, _meetings, "a long, b long")
+    met = written(reduce(DataFrame.union, turns).groupBy("b").agg(F.min("a").alias("a")), "met")
+    for table in turns:
+        drop_written(table)
     active = written(texts.select("rep", "print").join(met.select(F.col("b").alias("rep")), "rep"), "active")
-    few = docs.join(met.select("b"), F.col("key") == F.col("b"), "left_semi").select(F.col("key").alias("rep"), "text")
-    sets = written(_sets(few, words).distinct(), "shingles")
-    count = active.count()
 
-    def labelled(joined: DataFrame) -> DataFrame:
-        return written(active.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
+    def labelled(links: DataFrame) -> DataFrame:
+        joined = components(links).withColumnRenamed("node", "rep")
+        return written(active.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
 
     def meeting(now: DataFrame, nearest: bool) -> DataFrame:
-        return map_batches(_index(now, count, keys, True), lambda batches: _apart(batches, keys, shared, bits, nearest), "a long, b long, differ long")
-
-    links = written(_alike(written(_tallied(met.where("a < b"), active, shared, bits), "pairs").select("a", "b"), sets, least), "links")
-    now = labelled(components(links))
+        dealt = map_batches(several.join(now, "rep").select("rep", "print", "component", "postings"), lambda batches: _dealt_again(batches, parts), _BLOBS)
+        return map_batches(dealt.repartition(parts, "route"), lambda batches: _apart(batches, keys, shared, bits, nearest), "a long, b long, differ long")
+
+    pairs = written(_tallied(met.where("a < b"), active, shared, bits), "pairs")
+    links = _alike(pairs, docs, words, least)
+    now = labelled(links)
+    turns = _turns(now, active.count(), keys, True, _several, "rep long, postings array<long>")
+    several = written(reduce(DataFrame.union, turns).groupBy("rep").agg(F.flatten(F.collect_list("postings")).alias("postings")), "several")
+    for table in turns:
+        drop_written(table)
+    count = several.agg(F.sum(F.size("postings"))).first()[0] or 0
+    parts = max(1, -(-count // COMPARED))
     nearest = meeting(now, True).groupBy("a").agg(F.min(F.struct("differ", "b")).alias("p")).select(F.least("a", "p.b").alias("a"), F.greatest("a", "p.b").alias("b")).distinct()
-    links = written(links.union(_alike(written(nearest, "pairs"), sets, least)), "links")
+    nearest = written(nearest, "pairs")
+    links = links.union(_alike(nearest, docs, words, least))
     drop_written(now)
-    now = labelled(components(links))
+    now = labelled(links)
     rest = written(meeting(now, False).select("a", "b").distinct(), "pairs")
-    drop_written(now)
-    joined = components(written(links.union(_alike(rest, sets, least)), "links"))
-    for table in (met, active, sets, rest):
+    links = links.union(_alike(rest, docs, words, least))
+    for table in (met, active, now, pairs, nearest, rest, several):
         drop_written(table)
+    joined = components(links)
     own = found.join(same.select("digest", "rep"), "digest").select("key", "rep")
     return own.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
 

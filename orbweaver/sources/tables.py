@@ -52,10 +52,22 @@ def drop_all(spark: SparkSession) -> None:
     remove(spark, own_dir(spark))
 
 
+#: Spark removes what a query shuffled at its end, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df from a Parquet table in the shared folder: it cuts the lineage, and a lost executor loses nothing of it."""
+    """df from a Parquet table in the shared folder: it cuts the lineage, and a lost executor loses nothing of it.
+
+    What was shuffled for it goes at once.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

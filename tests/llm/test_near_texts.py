@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from orbweaver.llm import near_texts
@@ -106,3 +108,33 @@ def test_large_group_of_loose_copies(spark):
             low[a] = low[b] = min(low[a], low[b])
     got = {r["key"]: r["component_id"] for r in near_texts.groups(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == dict(enumerate(low)) and len(near) < 0.8 * 400 * 399 / 2
+
+
+def test_no_more_than_a_part_of_the_index_at_a_time(spark, monkeypatch):
+    """What is dealt at once stays below a text's size however many texts met others by chance; fingerprints are not dealt with each entry."""
+    draw, sizes, index = np.random.default_rng(3), [], near_texts._index
+
+    def noted(*args):
+        blobs = index(*args)
+        sizes.append(blobs.selectExpr(*(f"sum(length({c})) as {c}" for c in ("texts", "counts", "low", "high", "extra"))).selectExpr("texts + counts + low + high + extra").first()[0])
+        return blobs
+
+    monkeypatch.setattr(near_texts, "_index", noted)
+    rows = []
+    for k in range(0, 300, 2):
+        words = [f"w{k}x{j}" for j in range(100)]
+        rows += [(k, " ".join(words), "r"), (k + 1, " ".join(changed(draw, words, 0.6, 0.95)), "r")]
+    kept = near_texts.keep_one(spark.createDataFrame(rows, SCHEMA)).count()
+    assert 150 <= kept < 300 and max(sizes) < 2000 * len(rows)
+
+
+def test_written_tables_leave_no_shuffle(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    for _ in range(3):
+        near_texts.drop_written(near_texts.written(spark.range(1000).repartition(3, "id"), "some"))
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
