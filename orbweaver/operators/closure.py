@@ -5,12 +5,14 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.grammar import Grammar
+from ..plans.grammar import Grammar, Rule
 from ..sources.tables import drop_written, local_table, new_path, written
+from . import strata
 from .graph import EDGE, LabeledGraph
 from .rules import apply_binary, apply_unit, epsilon_edges, merge_edges, new_edges
 
@@ -86,7 +88,8 @@ def closure(
     mode: "full", or "dataflow" for grammars without unit rules whose right operands are never derived; there the new
     edges alone are joined, with the graph's own. It raises ValueError for other grammars, as it would lose edges.
     wanted: labels of which all edges are needed; rules that cannot matter to them are left out.
-    rewrite: close P ::= P x over labels x that are given or closed before by doubling (the same edges, fewer passes).
+    rewrite: tell rules apart by sorts of vertices and close each label when those that it needs are closed, P ::= P x by
+    doubling (the same edges, fewer passes; see strata). Grammars of more than strata.LABELS labels are closed at once.
     max_passes, max_edges: RuntimeError beyond that.
     """
     if mode not in ("full", "dataflow"):
@@ -96,7 +99,7 @@ def closure(
     if mode == "dataflow" and (faults := grammar.dataflow_faults()):
         raise ValueError("dataflow mode would lose edges: " + "; ".join(faults))
     spark = graph.edges.sparkSession
-    known, passes, total = _Known(spark), [], 0
+    passes, total = [], 0
 
     def counted(new: int, began: float) -> None:
         nonlocal total
@@ -109,6 +112,9 @@ def closure(
         if new and max_passes is not None and len(passes) > max_passes:
             raise RuntimeError(f"not closed after {max_passes} passes")
 
+    if mode == "full" and rewrite and len(grammar.labels) <= strata.LABELS:
+        return ClosureResult(strata.closed(graph, grammar, wanted, counted, lambda *of: _together(spark, *of, counted)), passes)
+    known = _Known(spark)
     try:
         began = time.perf_counter()
         start = merge_edges(graph.edges, epsilon_edges(graph.vertices, grammar.epsilon)) if grammar.epsilon else graph.edges.select(*EDGE).distinct()
@@ -123,6 +129,23 @@ def closure(
     return ClosureResult(spark.read.schema(SCHEMA + ", pass int").parquet(known.path).select(*EDGE), passes)
 
 
+def _together(spark: SparkSession, begin: dict, rules: dict, given: int, began: float, counted: Callable[[int, float], None]) -> dict:
+    """The edges of symbols that need each other, by passes; given: those of them that the graph had."""
+    name = {x: str(n) for n, x in enumerate(dict.fromkeys([*begin, *rules, *(x for own in rules.values() for body in own for x in body)]))}
+    grammar = Grammar(Rule(name[h], *(name[x] for x in body)) for h, own in rules.items() for body in own)
+    known = _Known(spark)
+    try:
+        start = [df.select("src", F.lit(name[x]).alias("label"), "dst") for x, df in begin.items()]
+        start = reduce(DataFrame.union, start) if start else spark.createDataFrame([], SCHEMA)
+        known.add(start.repartition(known.buckets, *EDGE))
+        counted(known.first().where(F.col("label").isin([name[h] for h in rules])).count() - given, began)
+        _closed(known, grammar, "full", counted)
+    finally:
+        known.forget()
+    all_ = spark.read.schema(SCHEMA + ", pass int").parquet(known.path)
+    return {h: all_.where(F.col("label") == name[h]).select("src", "dst") for h in rules}
+
+
 def _closed(known: _Known, grammar: Grammar, mode: str, counted: Callable[[int, float], None]) -> None:
     """Passes over all rules until one adds nothing. The first joins all that is known."""
     heads = sorted(grammar.nonterminals)

@@ -142,3 +142,36 @@ def test_random_graphs(spark, rewrite):
     found = closure(LabeledGraph.from_dataframe(spark.createDataFrame(edges, SCHEMA), vertices), Grammar(Rule(*r) for r in rules), rewrite=rewrite)
     # rules without a right side also hold at the other graphs' vertices
     assert {tuple(r) for r in found.edges.collect() if r["label"].rstrip("abcdp") == str(r["src"] // 10)} == want
+
+
+def test_points_to_takes_few_passes(spark):
+    """Lines and parts are told apart, so no rule waits for memory aliases; every label has the worklist's edges."""
+    edges = [(2 * k, "a", 2 * k + 2) for k in range(40) if k % 8 != 7] + [(2 * k, "d", 2 * (k * 5 % 13) + 1) for k in range(40)]
+    edges += [(d, "-" + label, s) for s, label, d in edges]
+    ids = {v for s, _, d in edges for v in (s, d)}
+    out = closure(graph(spark, edges), POINTS_TO)
+    want = closed(edges, as_tuples(POINTS_TO), ids)
+    assert {tuple(r) for r in out.edges.collect()} == want and out.count == out.edges.count() == len(want)
+    aliases = closure(graph(spark, edges), POINTS_TO, wanted=["M"])
+    assert len(aliases.passes) < 14 and {tuple(r) for r in aliases.edges.where("label = 'M'").collect()} == {e for e in want if e[1] == "M"}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_random_graphs_by_strata(spark, seed):
+    """Five graphs at once, of few labels each; vertices without edges, and edges that have a head's label."""
+    draw = random.Random(seed)
+    edges, rules = set(), []
+    for g in range(5):
+        name = lambda x, g=g: f"{g}{x}"
+        for _ in range(draw.randrange(14)):
+            label = draw.randrange(5)
+            # sources and targets of the first labels are apart, so that there are several sorts
+            at = lambda apart, end, g=g: 20 * g + (6 * end if apart else 0) + draw.randrange(6)
+            edges.add((at(label < 3, label % 2), name("abcde"[label]), at(label < 3, 1)))
+        rules += [(name(draw.choice("abcde")), *(name(x) for x in draw.choices("abcde", k=draw.choice([0, 1, 2, 2])))) for _ in range(draw.randrange(1, 7))]
+    rules = [(*r, None, None)[:3] for r in rules]
+    want = closed(edges, rules, range(100))
+    vertices = spark.range(100)
+    found = closure(LabeledGraph.from_dataframe(spark.createDataFrame(sorted(edges), SCHEMA), vertices), Grammar(Rule(*r) for r in rules))
+    rows = [tuple(r) for r in found.edges.collect()]
+    assert set(rows) == want and len(rows) == len(want) == found.count
