@@ -175,3 +175,15 @@ def test_random_graphs_by_strata(spark, seed):
     found = closure(LabeledGraph.from_dataframe(spark.createDataFrame(sorted(edges), SCHEMA), vertices), Grammar(Rule(*r) for r in rules))
     rows = [tuple(r) for r in found.edges.collect()]
     assert set(rows) == want and len(rows) == len(want) == found.count
+
+
+def test_counts_of_points_to_labels_take_few_passes(spark):
+    """All labels, wanted or not, are closed without passes over each other."""
+    edges = [(2 * k, "a", 2 * k + 2) for k in range(30) if k % 6 != 5] + [(2 * k, "d", 2 * (k * 5 % 7) + 1) for k in range(30)]
+    edges += [(d, "-" + label, s) for s, label, d in edges]
+    out = closure(graph(spark, edges), POINTS_TO)
+    want = closed(edges, as_tuples(POINTS_TO), {v for s, _, d in edges for v in (s, d)})
+    found = {r["label"]: r["count"] for r in out.edges.groupBy("label").count().collect()}
+    assert found == {label: sum(e[1] == label for e in want) for label in {e[1] for e in want}}
+    # one for the graph and one for each label of two sorts
+    assert len(out.passes) <= 18 and out.passes[-1][2] == len(want)
