@@ -11,8 +11,9 @@ ever linked. Of pairs at 0.8 some 95 % meet, of those at 0.85 over 99.9 % (simul
 Texts of equal sets are made one first. The index is made of TURN choices at a time, and its shuffle files go before the
 next are dealt, so that the disk never holds it whole. Entries are dealt by hash over tasks of bounded size, packed as
 arrays: six to fifteen bytes an entry, the more the fewer a text has for one task; of a posting's texts in one block of a
-table only the first goes on, with the others noted as met by it, so that a hot posting does not gather. A first round
-joins each text with the smallest one that it met so. Then the index is made again, for texts that met others, with their
+table only the first goes on, with the others noted as met by it, so that a hot posting does not gather. What turns before
+have found for a text goes with it, and a task names it again only for a smaller one. A first round joins each text with
+the smallest one that it met so. Then the index is made again, for texts that met others, with their
 components: it gives the entries of postings that hold several components, and only these are dealt with fingerprints, to
 be compared in blocks; pairs in one component already are passed over. The second round takes each text's nearest partner,
 the third every pair that is retained, in the first posting that it shares: components only grow, so it has the entries
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runtime import drop_written, map_batches, written
+from .runtime import drop_written, local_table, map_batches, written
 from .simhash import majority, shingle_hashes, tally
 
 #: Words of a fingerprint, choices of four of its positions, and pairs retained: least shared bytes, most differing bits.
@@ -95,14 +96,15 @@ _OWN = np.uint64((1 << 40) - 1)
 def _dealt(batches: Iterator[pa.RecordBatch], routes: int, keys: int, some: range, labelled: bool) -> Iterator[pa.RecordBatch]:
     """Rows (rep, print, component) as blobs of the index entries of some choices, some for each route.
 
-    Unless `labelled`, where components go with the texts, of a posting's texts in this block only the first goes to its
-    route, and the others' pairs with it go as a blob of pairs (counts is null).
+    Unless `labelled`, where components go with the texts, the third column is the smallest text met in turns before (null:
+    none) and goes with those that have one; of a posting's texts in this block only the first goes to its route, and the
+    others' pairs with it that say more than was known go as a blob of pairs (counts is null).
     """
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
-            rep, prints, label = np.asarray(part.column(0)), _bytes(part.column(1)), np.asarray(part.column(2))
-            n = len(rep)
+            rep, prints, label = np.asarray(part.column(0)), _bytes(part.column(1)), np.asarray(part.column(2).fill_null(0))
+            n, has = len(rep), np.asarray(part.column(2).is_valid())
             h = entries(prints, prints.shape[1] // 8, keys, some).ravel()
             text = np.repeat(np.arange(n, dtype=np.int32), len(some))
             if not labelled:
@@ -110,14 +112,16 @@ def _dealt(batches: Iterator[pa.RecordBatch], routes: int, keys: int, some: rang
                 new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
                 if not new.all():
                     first = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))][~new]
-                    a, b = _least(rep[text[first]], rep[text[order[~new]]])
-                    yield _blob(int(rep[0] % routes), a.tobytes(), None, b.tobytes(), b"", b"")
+                    a, b = _closer(*_least(rep[text[first]], rep[text[order[~new]]]), rep[has], label[has])
+                    if len(a):
+                        yield _blob(int(rep[0] % routes), a.tobytes(), None, b.tobytes(), b"", b"")
                     stay = np.ones(len(h), bool)
                     stay[order[~new]] = False
                     h, text = h[stay], text[stay]
                 del order, new
             route = ((h >> np.uint64(40)) % np.uint64(routes)).astype(np.int32)
-            yield from _packed(route, text, h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint8), rep, label[:, None] if labelled else None)
+            extra = (lambda who: label[who].tobytes()) if labelled else lambda who: np.packbits(has[who]).tobytes() + label[who[has[who]]].tobytes()
+            yield from _packed(route, text, h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint8), rep, extra)
 
 
 def _dealt_again(batches: Iterator[pa.RecordBatch], routes: int) -> Iterator[pa.RecordBatch]:
@@ -128,11 +132,11 @@ def _dealt_again(batches: Iterator[pa.RecordBatch], routes: int) -> Iterator[pa.
             counts, h = np.asarray(part.column(3).value_lengths()), np.asarray(part.column(3).flatten()).view(np.uint64)
             extra = np.concatenate([np.asarray(part.column(2))[:, None].view(np.uint8), _bytes(part.column(1))], 1)
             route = ((h & _OWN) % np.uint64(routes)).astype(np.int32)
-            yield from _packed(route, np.repeat(np.arange(len(counts), dtype=np.int32), counts), h, np.zeros(len(h), np.uint8)[:0], np.asarray(part.column(0)), extra)
+            yield from _packed(route, np.repeat(np.arange(len(counts), dtype=np.int32), counts), h, np.zeros(len(h), np.uint8)[:0], np.asarray(part.column(0)), lambda who: extra[who].tobytes())
 
 
-def _packed(route: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray, rep: np.ndarray, extra: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Entries in the order of their texts, as a blob for each route; extra has a row for each text."""
+def _packed(route: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray, rep: np.ndarray, extra: Callable[[np.ndarray], bytes]) -> Iterator[pa.RecordBatch]:
+    """Entries in the order of their texts, as a blob for each route; extra gives what goes with some of the texts."""
     order = np.argsort(route, kind="stable")  # by text within a route
     low, text, route = low[order], text[order], route[order]
     high = high[order] if len(high) else high
@@ -142,7 +146,7 @@ def _packed(route: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarr
         starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         who = own[starts]
         counts = np.diff(np.concatenate([starts, [z - a]])).astype(np.uint16)
-        yield _blob(int(route[a]), rep[who].tobytes(), counts.tobytes(), low[a:z].tobytes(), high[a:z].tobytes(), b"" if extra is None else extra[who].tobytes())
+        yield _blob(int(route[a]), rep[who].tobytes(), counts.tobytes(), low[a:z].tobytes(), high[a:z].tobytes(), extra(who))
 
 
 def _blob(route: int, *parts: bytes | None) -> pa.RecordBatch:
@@ -179,23 +183,40 @@ def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[new], y[new]
 
 
+def _closer(a: np.ndarray, b: np.ndarray, texts: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b) where b is none of the texts, or a smaller than what is known of it."""
+    if not len(texts):
+        return a, b
+    texts, place = np.unique(texts, return_index=True)
+    at = np.minimum(np.searchsorted(texts, b), len(texts) - 1)
+    says = (texts[at] != b) | (a < known[place][at])
+    return a[says], b[says]
+
+
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): for each text b of a task's postings of several the smallest text a that is first in one of them, b itself perhaps."""
-    h, rep, a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for _, texts, counts, own, _, _ in _blobs(batches):
+    """(a, b): for each text b of a task's postings of several the smallest text a that is first in one of them, b itself perhaps.
+
+    What turns before have found as small goes no more, so a text of a large group is not named by every task of every turn.
+    """
+    none = np.zeros(0, np.int64)
+    h, rep, a, b, old, known = [np.zeros(0, np.uint64)], [none], [none], [none], [none], [none]
+    for _, texts, counts, own, _, extra in _blobs(batches):
         if counts is None:
             a.append(texts)
             b.append(own)
         else:
             h.append(own)
             rep.append(np.repeat(texts, counts))
+            flags = -(-len(texts) // 8)
+            old.append(texts[np.unpackbits(np.frombuffer(extra[:flags], np.uint8), count=len(texts)).view(bool)])
+            known.append(np.frombuffer(extra[flags:], np.int64))
     reps = np.concatenate(rep)
     order, first, sizes = _postings(np.concatenate(h))
     reps = reps[order]
     if len(first):
         a.append(np.repeat(np.minimum.reduceat(reps, first), sizes))
         b.append(reps)
-    x, y = _least(np.concatenate(a), np.concatenate(b))
+    x, y = _closer(*_least(np.concatenate(a), np.concatenate(b)), np.concatenate(old), np.concatenate(known))
     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
 
@@ -295,10 +316,20 @@ def _index(texts: DataFrame, count: int, keys: int, some: range, labelled: bool)
     return blobs.repartition(parts, "route")
 
 
-def _turns(texts: DataFrame, count: int, keys: int, labelled: bool, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> list[DataFrame]:
-    """What function() makes of the index, a table for each turn: only one turn's index is on the disks at a time."""
-    turns = [range(k, min(k + TURN, keys)) for k in range(0, keys, TURN)]
-    return [written(map_batches(_index(texts, count, keys, some, labelled), function, schema), "turn") for some in turns]
+def _turns(keys: int) -> list[range]:
+    """The choices of each turn: only one turn's index is on the disks at a time."""
+    return [range(k, min(k + TURN, keys)) for k in range(0, keys, TURN)]
+
+
+def _met(texts: DataFrame, count: int, keys: int) -> DataFrame:
+    """(b, a): every text of (rep, print) that shares a posting, with the smallest that it met in one (itself perhaps), written."""
+    met = local_table(texts.sparkSession, [], "b long, a long")
+    for some in _turns(keys):
+        now = texts.join(met.select(F.col("b").alias("rep"), F.col("a").alias("component")), "rep", "left")
+        found = map_batches(_index(now, count, keys, some, False), _meetings, "a long, b long")
+        before, met = met, written(met.union(found.select("b", "a")).groupBy("b").agg(F.min("a").alias("a")), "met")
+        drop_written(before)
+    return met
 
 
 def _tallied(pairs: DataFrame, same: DataFrame, shared: int, bits: int) -> DataFrame:
@@ -347,10 +378,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     found = written(_prints(docs, words, size), "prints")
     same = written(found.groupBy("digest", "print").agg(F.min("key").alias("rep")), "sets")
     texts = same.where("print is not null")
-    turns = _turns(texts.withColumn("component", F.col("rep")), same.count(), keys, False, _meetings, "a long, b long")
-    met = written(reduce(DataFrame.union, turns).groupBy("b").agg(F.min("a").alias("a")), "met")
-    for table in turns:
-        drop_written(table)
+    met = _met(texts, same.count(), keys)
     active = written(texts.select("rep", "print").join(met.select(F.col("b").alias("rep")), "rep"), "active")
 
     def labelled(links: DataFrame) -> DataFrame:
@@ -364,7 +392,8 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     pairs = written(_tallied(met.where("a < b"), active, shared, bits), "pairs")
     links = _alike(pairs, docs, words, least)
     now = labelled(links)
-    turns = _turns(now, active.count(), keys, True, _several, "rep long, postings array<long>")
+    count = active.count()
+    turns = [written(map_batches(_index(now, count, keys, some, True), _several, "rep long, postings array<long>"), "turn") for some in _turns(keys)]
     several = written(reduce(DataFrame.union, turns).groupBy("rep").agg(F.flatten(F.collect_list("postings")).alias("postings")), "several")
     for table in turns:
         drop_written(table)

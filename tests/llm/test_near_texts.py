@@ -110,6 +110,30 @@ def test_large_group_of_loose_copies(spark):
     assert got == dict(enumerate(low)) and len(near) < 0.8 * 400 * 399 / 2
 
 
+def test_a_large_group_is_not_named_by_every_task_of_every_turn(spark, monkeypatch):
+    """A text meets its group in all turns and tasks, but goes on only where it has met a smaller one than before."""
+    draw, rows, made, mapped = np.random.default_rng(4), [], [], near_texts.map_batches
+
+    def noted(df, function, schema):
+        out = mapped(df, function, schema)
+        if function is near_texts._meetings:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_texts, "map_batches", noted)
+    words = [f"w{j}" for j in range(150)]
+    for k in range(300):
+        new = list(words)
+        for j in draw.choice(150, 2, replace=False):
+            new[j] = f"new{k}x{j}"
+        rows.append((k, " ".join(new), "r"))
+    rows.append((300, "some other text of seven words", "r"))
+    got = {r["key"]: r["component_id"] for r in near_texts.groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert got == dict.fromkeys(range(300), 0) | {300: 300}
+    assert len(made) == 8 and 300 <= sum(made) <= (tasks + 2) * 300
+
+
 def test_no_more_than_a_part_of_the_index_at_a_time(spark, monkeypatch):
     """What is dealt at once stays below a text's size however many texts met others by chance; fingerprints are not dealt with each entry."""
     draw, sizes, index = np.random.default_rng(3), [], near_texts._index
