@@ -17,12 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.grammar import Grammar
-from ..sources.tables import drop_written, written
+from ..sources.tables import drop_written
+from ..sources.tables import written as _written
 from .graph import EDGE, LabeledGraph
 
 #: Labels of a grammar, each with a bit for its sources and one for its targets.
 LABELS = 31
 
+#: Joins hash one side where none of its partitions has more bytes than this, and sort both otherwise.
+HASHED = 16 << 20
+
 Symbol = tuple[str, int, int]
 Bodies = dict[Symbol, list[tuple[Symbol, ...]]]
 
@@ -86,6 +90,19 @@ def strata(bodies: Bodies, wanted: set[str] | None) -> list[list[Symbol]]:
     return groups
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A written table; sides of joins that are small in all partitions are hashed, not sorted."""
+    conf, before = df.sparkSession.conf, {}
+    for key in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"):
+        before[key] = conf.get(key, None)
+        conf.set(key, HASHED)
+    try:
+        return _written(df, name)
+    finally:
+        for key, value in before.items():
+            conf.set(key, value) if value is not None else conf.unset(key)
+
+
 def closed(graph: LabeledGraph, grammar: Grammar, wanted: list[str] | None, counted: Callable[[int, float], None], passes: Callable) -> DataFrame:
     """All edges of the closure. passes: gives (symbol -> edges) of symbols that need each other, from what they start with and need."""
     began = time.perf_counter()
@@ -93,7 +110,7 @@ def closed(graph: LabeledGraph, grammar: Grammar, wanted: list[str] | None, coun
     numbers = {r["label"]: r["n"] for r in edges.where(F.col("label").isin(grammar.labels)).groupBy("label").agg(F.count("*").alias("n")).collect()}
     counted(edges.count(), began)
     began = time.perf_counter()
-    vertices, given, held, whole = _sorts(edges, graph.vertices if grammar.epsilon else None, [x for x in grammar.labels if x in numbers])
+    vertices, given, held, whole = _sorts(edges, graph if grammar.epsilon else None, [x for x in grammar.labels if x in numbers])
     bodies = cases(grammar, given, sorted(held))
     start = {(x, *kind) for x, kind in given.items()}
     if whole:
@@ -114,6 +131,9 @@ def closed(graph: LabeledGraph, grammar: Grammar, wanted: list[str] | None, coun
             return parts[0]
         return written(reduce(DataFrame.union, parts).distinct(), "stratum")
 
+    # closures of a label's edges by their ends: those of its inverses, if it has no others, are the same turned
+    turned = {x: y for pair in graph.inverses if pair[0] in given and numbers.get(pair[0]) == numbers.get(pair[1]) for x, y in (pair, pair[::-1])}
+    paths: dict[tuple[str, int], DataFrame] = {}
     heads = []
     for group in strata(bodies, None if wanted is None else set(wanted)):
         head, began = group[0], time.perf_counter()
@@ -122,8 +142,14 @@ def closed(graph: LabeledGraph, grammar: Grammar, wanted: list[str] | None, coun
         if len(group) == 1 and (not again or len(again) == 1 and sum(x == head for x in again[0]) == 1):
             own = base(head, first)
             if again and own is not None:
-                step = found[again[0][again[0][0] == head]]
-                own = _powers(own, step, again[0][0] == head, first == [()] and head not in start)
+                step, loops = found[again[0][again[0][0] == head]], first == [()] and head not in start
+                label = next((x[0] for x in start if loops and found[x] is step), None)
+                if (other := paths.get((turned.get(label), head[1]))) is not None:
+                    own = other.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+                else:
+                    own = _powers(own, step, again[0][0] == head, loops)
+                    if label is not None:
+                        paths[label, head[1]] = own
             if own is None:
                 own = edges.limit(0).select("src", "dst")
             n = held[head[1]] if first == [()] and not again and head not in start else count[first[0][0]] if len(first) == 1 and len(first[0]) == 1 and not again and head not in start else own.count()
@@ -146,14 +172,22 @@ def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("src", F.col("dst").alias("y")).join(right.select(F.col("src").alias("y"), "dst"), "y").select("src", "dst")
 
 
-def _sorts(edges: DataFrame, vertices: DataFrame | None, labels: list[str]) -> tuple[DataFrame | None, dict[str, tuple[int, int]], dict[int, int], bool]:
-    """(id, sort, declared) of all vertices, each label's two sorts, the declared vertices of each sort, and whether all are declared."""
+def _sorts(edges: DataFrame, graph: LabeledGraph | None, labels: list[str]) -> tuple[DataFrame | None, dict[str, tuple[int, int]], dict[int, int], bool]:
+    """(id, sort, declared) of all vertices, each label's two sorts, the declared vertices of each sort, and whether all are declared.
+
+    graph: what declares vertices, None if none matter. Where they are those of its edges, these are not made again.
+    """
+    touched = graph is not None and graph.touched
     bit = lambda at: reduce(lambda c, k: c.when(F.col("label") == labels[k], F.lit(1 << 2 * k + at)), range(len(labels)), F.when(F.lit(False), F.lit(0))).cast("long")
-    ends = edges.where(F.col("label").isin(labels)).select(F.explode(F.array(F.struct(F.col("src").alias("id"), bit(0).alias("m")), F.struct(F.col("dst").alias("id"), bit(1).alias("m")))).alias("e"))
+    ends = (edges if touched else edges.where(F.col("label").isin(labels))).select(F.explode(F.array(F.struct(F.col("src").alias("id"), bit(0).alias("m")), F.struct(F.col("dst").alias("id"), bit(1).alias("m")))).alias("e"))
     masks = ends.groupBy("e.id").agg(F.bit_or("e.m").alias("mask"))
-    if vertices is not None:
-        masks = masks.join(vertices.select("id", F.lit(True).alias("declared")), "id", "full")
+    if touched:
+        masks = masks.withColumn("declared", F.col("id").isNotNull())
+    elif graph is not None:
+        masks = masks.join(graph.vertices.select("id", F.lit(True).alias("declared")), "id", "full")
     masks = written(masks, "vertices")
+    if touched:  # null is a vertex, but none that edges meet at
+        masks = masks.union(masks.where("id is null").select("id", F.lit(None).cast("long"), F.lit(True)))
     bits = range(2 * len(labels))
     met = masks.agg(*(F.bit_or(F.when(F.col("mask").bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.col("mask"))).alias(f"b{k}") for k in bits)).first() if labels else []
     groups: list[int] = []
@@ -162,7 +196,7 @@ def _sorts(edges: DataFrame, vertices: DataFrame | None, labels: list[str]) -> t
         groups = [g for g in groups if not g & m] + [reduce(int.__or__, touching, m)]
     sort_of = lambda k: next(n for n, g in enumerate(groups) if g >> k & 1)
     given = {x: (sort_of(2 * k), sort_of(2 * k + 1)) for k, x in enumerate(labels)}
-    if vertices is None:
+    if graph is None:
         return None, given, {}, True
     sort = reduce(lambda c, n: c.when(F.col("mask").bitwiseAND(F.lit(groups[n]).cast("long")) != 0, F.lit(n)), range(len(groups)), F.when(F.col("mask").isNull(), F.lit(-1)))
     sorted_ = masks.select("id", sort.alias("sort"), F.coalesce("declared", F.lit(False)).alias("declared"))
@@ -185,7 +219,9 @@ def _powers(own: DataFrame, step: DataFrame, onward: bool, loops: bool) -> DataF
     while not power.isEmpty():
         known = reduce(DataFrame.union, tables)
         more = _joined(known, power) if onward else _joined(power, known)
-        new = written(more.distinct().join(known, ["src", "dst"], "left_anti"), "stratum")
+        # of both together those that are not known: neither is sorted
+        both = more.withColumn("known", F.lit(False)).union(known.withColumn("known", F.lit(True)))
+        new = written(both.groupBy("src", "dst").agg(F.bool_or("known").alias("known")).where("not known").select("src", "dst"), "stratum")
         if new.isEmpty():
             break
         tables.append(new)

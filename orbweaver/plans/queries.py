@@ -78,8 +78,11 @@ def place_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alias_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a: a line is assigned to the next of its order; d: a line refers to its part. Lines are even, parts odd."""
-    d = _lines(spark, sf_dir)[0].select((F.col("line") * 2).alias("src"), F.lit("d").alias("label"), (F.col("l_partkey") * 2 + 1).cast("long").alias("dst"))
-    return line_edges(spark, sf_dir, "a", 2).union(d)
+    lines, along = _lines(spark, sf_dir)
+    edge = lambda label, dst: F.struct((F.col("line") * 2).alias("src"), F.lit(label).alias("label"), dst.cast("long").alias("dst"))
+    both = F.array(edge("a", F.col("then") * 2), edge("d", F.col("l_partkey") * 2 + 1))
+    edges = lines.withColumn("then", F.lead("line").over(along)).select(F.explode(both).alias("e")).select("e.*")
+    return edges.where("label = 'd' or dst is not null")
 
 
 def _closed(edges: DataFrame, grammar: Grammar, label: str, mode: str = "full", inverses: list[str] | None = None) -> DataFrame:

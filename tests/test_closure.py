@@ -52,6 +52,22 @@ def test_dataflow(spark):
         result(spark, edges, Grammar.of("N ::= N e"), mode="other")
 
 
+def test_paths_of_inverses_are_made_once(spark, monkeypatch):
+    """Paths along -a are those along a turned, where -a has no edges of its own; vertices of the edges are not made again."""
+    calls, powers = [], module.strata._powers
+    monkeypatch.setattr(module.strata, "_powers", lambda *of: calls.append(of) or powers(*of))
+    edges = [(0, "d", 1), (2, "d", 3), (4, "a", 0), (4, "a", 2), (2, "a", 6), (6, "d", 7), (5, "zz", 9)]
+    for more, often in (([], 1), ([(6, "-a", 4)], 2)):
+        calls.clear()
+        own = graph(spark, edges + more).with_inverses(["a", "d"])
+        got = [tuple(r) for r in closure(own, POINTS_TO).edges.collect()]
+        assert own.touched and len(calls) == often and len(got) == len(set(got))
+        turned = {*edges, *more, *((d, "-" + x, s) for s, x, d in edges + more if x in "ad")}
+        assert set(got) == closed(turned, as_tuples(POINTS_TO), {v for s, _, d in turned for v in (s, d)})
+    both = graph(spark, edges).with_inverses(["a"])
+    assert both.inverses == (("a", "-a"),) and both.with_inverses(["a"], "").inverses == ()
+
+
 def test_points_to(spark):
     edges = [(0, "d", 1), (2, "d", 3), (4, "a", 0), (4, "a", 2), (1, "a", 5), (6, "d", 7)]
     edges += [(d, "-" + label, s) for s, label, d in edges]
