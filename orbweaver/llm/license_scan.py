@@ -102,11 +102,12 @@ def scan(
     table = F.broadcast(templates(spark, phrases, texts))
     hits = pairs.withColumn("wh", F.xxhash64("wa", "wb")).join(table, (F.col("wh") == F.col("h")) & (F.col("wa") == F.col("a")) & (F.col("wb") == F.col("b")))
     votes = hits.groupBy(*own, "template", "kind", "label", "pairs", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"))
-    votes = votes.withColumn("rows", F.max(F.when(F.col("kind") == "text", F.col("votes"))).over(Window.partitionBy(*own)))
+    votes = votes.where("kind = 'text' or kind = 'base' and votes >= pairs or kind = 'long' and votes >= least(pairs, %d)" % least)  # too few for all equal rows together: too few for each
+    rows, along = Window.partitionBy(*own).orderBy("template", "diagonal"), Window.partitionBy(*own, "template").orderBy("diagonal")  # one sort serves both
+    votes = votes.withColumn("rows", F.max(F.when(F.col("kind") == "text", F.col("votes"))).over(rows))  # the text's own row (template -1) is the first
     votes = votes.withColumn("votes", F.when(F.col("kind") == "text", 1).otherwise(F.expr("votes div rows")))
     own.append("rows")
     votes = votes.where("kind = 'text' or kind = 'base' and votes = pairs or kind = 'long' and votes >= least(pairs, %d)" % least)
-    along = Window.partitionBy(*own, "template").orderBy("diagonal")
     begins = (F.col("kind") != "long") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > slack, F.lit(True))
     merged = votes.withColumn("begins", begins.cast("int")).withColumn("span", F.sum("begins").over(along))
     spans = merged.groupBy(*own, "template", "kind", "label", "pairs", "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))

@@ -70,3 +70,23 @@ def test_against_sql(spark):
     con.sql("CREATE TABLE documents AS SELECT * FROM given")
     assert sorted(got, key=str) == sorted(con.sql(license_scan.oracle()).fetchall(), key=str)
     assert license_scan.TEMPLATES.keys() <= {x for r in got for x in r[6].split(",")}
+
+
+def dealt(plan):
+    """Rows that each shuffle of an executed plan wrote."""
+    while plan.nodeName() == "AdaptiveSparkPlan" or plan.nodeName().endswith("QueryStage"):
+        plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan()
+    below = plan.children()
+    own = [plan.metrics().apply("shuffleRecordsWritten").value()] if plan.nodeName() == "Exchange" else []
+    return own + [n for k in range(below.size()) for n in dealt(below.apply(k))]
+
+
+def test_lone_votes_are_not_dealt_again(spark):
+    """Common pairs give diagonals of one vote; only the texts' own rows and diagonals that can count go on to the spans."""
+    lone = ("of the " + "zz " * 400) * 5
+    rows = [*((k, lone) for k in range(40)), (40, MIT), *[(41, lone)] * 3, *[(42, MIT)] * 3]
+    df = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = df.collect()
+    assert sorted((r["doc_id"], r["labels"], r["score"] == 1) for r in got) == sorted((k, "mit-text" if t == MIT else "", t == MIT) for k, t in rows)
+    second, first = sorted(dealt(df._jdf.queryExecution().executedPlan()))
+    assert first > 40 * 5 * 5 and second < 3 * len(rows) + 50
