@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import Memo, drop_written, local_table, map_batches, shared_dir, written
+from .runtime import PackedMemo, drop_written, local_table, map_batches, shared_dir, written
 
 #: Tokens after which a block ends; one document is never divided.
 BLOCK_TOKENS = 1 << 18
@@ -95,26 +95,30 @@ class _Words:
             ends[[k for token, k in tokenizer.get_vocab().items() if token.endswith(mark)]] = True
         plain = re.compile("([a-zß-öø-ÿ]+)([,.]*)").fullmatch
 
-        def ids_of(tokenizer: Tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.fromiter(chain.from_iterable(ids), np.uint16), np.fromiter(map(len, ids), np.int64, len(ids))
+        def ids_of(tokenizer: Tokenizer, texts: list[str], step: int) -> tuple[np.ndarray, np.ndarray]:
+            flat, lengths = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+            for k in range(0, len(texts), step):  # the library's results take some 100 bytes a token
+                ids = [x.ids for x in tokenizer.encode_batch_fast(texts[k : k + step], add_special_tokens=False)]
+                flat.append(np.fromiter(chain.from_iterable(ids), np.uint16))
+                lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            return np.concatenate(flat), np.concatenate(lengths)
 
-        def library(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        def library(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             rows, rest, pieces, counts = [], [], [], []
-            for w in words:
+            for k, w in enumerate(words):
                 if mark and (m := plain(w)):
                     core, tail = m.groups()
-                    rows.append(w)
+                    rows.append(k)
                     pieces.append(f"{core} {tail}" if tail else core)
                     counts.append(2 if tail else 1)
                 else:
-                    rest.append(w)
-            flat, _ = ids_of(lean, [" ".join(pieces[k : k + 256]) for k in range(0, len(pieces), 256)])
+                    rest.append(k)
+            flat, _ = ids_of(lean, [" ".join(pieces[k : k + 256]) for k in range(0, len(pieces), 256)], 16)
             last = np.flatnonzero(ends[flat])[np.cumsum(counts, dtype=np.int64) - 1]
-            more, lengths = ids_of(tokenizer, rest)
-            return rows + rest, np.concatenate([flat, more]), np.concatenate([np.diff(last, prepend=-1), lengths])
+            more, lengths = ids_of(tokenizer, [words[k] for k in rest], 4096)
+            return np.array(rows + rest, np.int64), np.concatenate([flat, more]), np.concatenate([np.diff(last, prepend=-1), lengths])
 
-        self.memo = Memo(library, 1_500_000)
+        self.memo = PackedMemo(library, 1_500_000)
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many ids each text has. Arrow splits the texts and finds the different stretches."""
@@ -125,8 +129,10 @@ class _Words:
         words = pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
         counts = np.asarray(pc.list_value_length(words), np.int64)
         different = words.flatten().dictionary_encode()
-        places = self.memo.places(different.dictionary.to_pylist())
+        places = self.memo.places(different.dictionary)
         ids, lengths = self.memo.gather(places[np.asarray(different.indices)])
+        del lower, words, different
+        pa.default_memory_pool().release_unused()
         return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)], prepend=0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -1,7 +1,10 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from public_tokenizers import path
@@ -55,3 +58,35 @@ def test_null_keys_repeats_and_empty(spark):
     rows = sorted(vbyte.round_trip(df, VOCABULARY).collect(), key=lambda r: r["start"])
     assert [(r["doc_id"], r["n_tokens"]) for r in rows][0] == (None, 3) and [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1]]
     assert vbyte.round_trip(df.limit(0), VOCABULARY).count() == 0
+
+
+def _lengths(words):
+    """An encoding that turns the words around: a word's ids are its characters."""
+    order = np.arange(len(words))[::-1]
+    turned = [words[k] for k in order]
+    return order, np.array([ord(c) for w in turned for c in w], np.uint16), np.array([len(w) for w in turned], np.int64)
+
+
+def test_memo_tells_pieces_of_one_hash_apart():
+    draw = random.Random(2)
+    for digest in (lambda x: 7, lambda x: len(x) % 3, xxhash.xxh64_intdigest):
+        memo = vbyte.PackedMemo(_lengths, 300, digest)
+        for _ in range(30):
+            words = list({"".join(draw.choice("abcé") for _ in range(draw.choice([0, 1, 2, 3, 400]))) for _ in range(40)})
+            draw.shuffle(words)
+            ids, lengths = memo.gather(memo.places(pa.array(["x", *words]).slice(1)))
+            assert lengths.tolist() == [len(w) for w in words] and "".join(map(chr, ids)) == "".join(words)
+            assert len(memo.hashes) <= memo.n <= 340 and (np.diff(memo.hashes.astype(object)) > 0).all()
+
+
+def test_memory_of_kept_words():
+    ours, draw = vbyte._Words(VOCABULARY), random.Random(6)
+    words = list({"".join(draw.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(100_000)})
+    tracemalloc.start()
+    try:
+        for k in range(0, len(words), 10_000):
+            ours.flat(pa.array([" ".join(words[k : k + 10_000])]))
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 120 * len(words)
